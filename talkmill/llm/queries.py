@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
-from .common import table
+from . import decontamination, licenses, secret_scan, vector_topk
+from .common import shared_dir, table
 
-ORACLES: dict[str, str] = {}
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,24 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.topk(table(spark, sf_dir, "embeddings"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a ledger of its own, so every blob is unseen."""
+    ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), ledger))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op8_decontamination": op8_decontamination,
+    "op9_vector_topk": op9_vector_topk,
+    "op10_secret_scan": op10_secret_scan,
+}
+
+ORACLES: dict[str, str] = {
+    "op1_licenses": licenses.oracle(),
+    "op9_vector_topk": vector_topk.oracle(),
 }
