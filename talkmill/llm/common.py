@@ -71,3 +71,17 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
+    path = f"{folder}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``stored`` wrote, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

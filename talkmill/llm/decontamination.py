@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, sha256_hex, text_bytes
+from .common import alnum_words, text_bytes
 
 WINDOW = 13
 #: Share of a text's words (1 in 20) from which the whole text counts as contaminated.
@@ -207,7 +207,7 @@ def digest(report: DataFrame) -> DataFrame:
     return report.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        "contaminated", "longest_match",
+        "contaminated",
     )
 
 
@@ -257,5 +257,19 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int =
     return docs.mapInArrow(scrub, schema)
 
 
-def empty_digest() -> str:
-    return sha256_hex("")
+def oracle(window: int = WINDOW, cover: int = COVER) -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    grams = lambda k: f"list_transform(range(greatest(len(w) - {k} + 1, 0)), lambda i: struct_pack(pos := i, g := array_to_string(w[(i + 1)::INT:(i + {k})::INT], ' ')))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, {words} AS w FROM benchmark),
+bw AS (SELECT item_id, least({window}, len(w)) AS n, w FROM b WHERE len(w) > 0),
+bg AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(len(w) - n + 1), lambda i: array_to_string(w[(i + 1)::INT:(i + n)::INT], ' '))) AS g FROM bw),
+dg AS (SELECT k, {window} AS n, unnest({grams(window)}) AS x FROM d
+    UNION ALL SELECT k, s.n, unnest({grams("s.n")}) FROM d, (SELECT DISTINCT n FROM bw WHERE n < {window}) AS s),
+h AS (SELECT k, x.pos AS pos, bg.n AS n, item_id FROM dg JOIN bg ON dg.n = bg.n AND dg.x.g = bg.g),
+c AS (SELECT k, count(DISTINCT p) AS hit FROM (SELECT k, unnest(range(pos, pos + n)) AS p FROM h) GROUP BY k),
+i AS (SELECT k, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(hit, 0) > 0 AND {cover} * coalesce(hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN i USING (k)"""
