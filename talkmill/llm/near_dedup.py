@@ -7,10 +7,10 @@
 2. Texts of equal fingerprints form a class, on the map side first, so copies never meet in pairs.
 3. In every bucket the member of the smallest number is the centre and gets an edge to each member of
    another component; edges are confirmed on the full sets, and components grow by the links found. The
-   centre, now held against all, leaves the bucket, and the next round goes on until every bucket holds one
-   component. So a bucket of n members gives at most n - 1 edges a round, and no pair in it goes untested
-   unless it is in one component already. A first round over ``SEED_BANDS`` bands joins most near copies
-   before the other bands are looked at.
+   centre, now held against all, leaves the bucket. Buckets of one component are done; the others go on with 4, 16,
+   64 ... centres. So edges are stars, groups of near copies cost a star or two each, and no pair of a bucket
+   goes untested unless it is in one component already; rounds grow with the logarithm of the largest
+   bucket. A first round over ``SEED_BANDS`` bands joins most near copies before the other bands are looked at.
 4. Components are found by large-star / small-star steps over the links between components.
 
 All tables stay distributed; what rounds hand on is written to the shared folder.
@@ -33,26 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import blank_words, forget, shared_dir, stored, text_bytes
 
 THRESHOLD = 80  # per cent
 BANDS, ROWS, SEED_BANDS = 40, 5, 4
+#: A bucket has 1 centre in its first round, then so many times as many in each further one.
+CENTRE_GROWTH = 4
 _U = np.uint64
-_CACHE = 400_000
-
-
-class _WordHash(dict):
-    """Word to 64-bit hash; forgets all when it holds many, which bounds its memory."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHash()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,12 +56,16 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     words = blank_words(text)
     if not words:
         return np.empty(0, _U)
-    ids = np.fromiter(map(_words.__getitem__, words), _U, len(words))
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
     k = min(size, len(ids))
     h = np.full(len(ids) - k + 1, _U(k))
     for i in range(k):
-        h = mix(h * _U(0x9E3779B97F4A7C15) + ids[i : len(ids) - k + 1 + i])
-    return np.unique(h)
+        h *= _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(32)
+        h += ids[i : len(ids) - k + 1 + i]
+    h = mix(h)
+    h.sort()
+    return h if len(h) < 2 else h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 class Signer:
@@ -84,6 +77,7 @@ class Signer:
         #: For each bin the sequence of bins it borrows from.
         self.order = rng.integers(0, self.bins, size=(self.bins, 64 * self.bins // 8), dtype=np.int64)
         self.salt = mix(np.arange(1, bands + 1, dtype=_U))
+        self.factors = mix(np.arange(1, rows + 1, dtype=_U)) | _U(1)
 
     def bins_of(self, hashes: np.ndarray) -> np.ndarray:
         at = ((hashes >> _U(32)) * _U(self.bins) >> _U(32)).astype(np.int64)  # sorted, as hashes are
@@ -107,10 +101,7 @@ class Signer:
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         parts = self.bins_of(hashes).reshape(self.bands, self.rows)
-        key = self.salt.copy()
-        for i in range(self.rows):
-            key = mix(key * _U(0x9E3779B97F4A7C15) + parts[:, i])
-        return key.view(np.int64)
+        return mix((parts * self.factors).sum(1) + self.salt).view(np.int64)
 
 
 def _fingerprint(hashes: np.ndarray) -> bytes:
@@ -128,19 +119,8 @@ def _sign(size: int, bands: int, rows: int):
                 prints.append(_fingerprint(h) if len(h) else None)
                 keys.append(signer.keys(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "fp", "bands"],
-            )
-
-    return run
-
-
-def _prints(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = (shingles(t.as_py(), size) for t in batch["text"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_fingerprint(h) if len(h) else None for h in sets], pa.binary()), batch["text"]], names=["fp", "text"]
+                [batch["doc_id"], batch["key"], pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "n", "fp", "bands"],
             )
 
     return run
@@ -196,12 +176,12 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
     """doc_id, n_shingles, fp (of the set), component_id and kept, one row per document row."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/near-dedup-{uuid.uuid4().hex}"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    signed = stored(spark, texts.mapInArrow(_sign(size, bands, rows), "doc_id long, n long, fp binary, bands array<long>"), folder, "signed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    signed = stored(spark, texts.mapInArrow(_sign(size, bands, rows), "doc_id long, key binary, n long, fp binary, bands array<long>"), folder, "signed")
     rows_ = signed.withColumn("uid", F.monotonically_increasing_id())  # of a written table, so it stays
     classes = stored(
         spark,
-        rows_.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("node"), F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        rows_.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("node"), F.min("doc_id").alias("cid"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         folder,
         "classes",
     )
@@ -209,31 +189,34 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
     members = stored(spark, every.join(shared, "bucket").withColumn("comp", F.col("node")), folder, "members-0")
 
-    needed = members.select("node").distinct().join(classes.select("node", "fp"), "node")
-    bodies = texts.select("text").mapInArrow(_prints(size), "fp binary, text binary").filter("fp is not null").dropDuplicates(["fp"])
-    bodies = stored(spark, bodies.join(needed, "fp").select("node", "text"), folder, "bodies")
+    # one text of each class that shares a bucket, by the text's own digest
+    needed = members.select("node").distinct().join(classes.select("node", "key"), "node")
+    bodies = texts.select("key", "text").dropDuplicates(["key"]).join(needed, "key").select("node", "text")
+    bodies = stored(spark, bodies, folder, "bodies")
 
-    relabelled: list[DataFrame] = []  # each round's old component -> new component
-    tested, step, seed = None, 0, True
+    nodes = stored(spark, members.select("node", "comp").distinct(), folder, "nodes-0")
+    tested, step, seed, centre_count = None, 0, True, 1
     while True:
         step += 1
         at = f"{folder}/round-{step}"
         live = members.filter(F.col("band") < SEED_BANDS) if seed else members
-        centres = (
-            live.groupBy("bucket")
-            .agg(F.min(F.struct("node", "n", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .filter("lo < hi")
-            .select("bucket", "c")
-        )
-        live = stored(spark, live.join(centres, "bucket").filter("node <> c.node"), at, "live")
+        mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+        live = stored(spark, live.join(mixed, "bucket"), at, "live")
         if live.isEmpty():
             if not seed:
                 break
             seed = False
             continue
-        fits = F.lit(100) * F.least("n", "c.n") >= F.lit(threshold) * F.greatest("n", "c.n")
-        edges = live.filter((F.col("comp") != F.col("c.comp")) & fits).select(
-            F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.comp").alias("a_comp"), F.col("comp").alias("b_comp")
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        centres = live.withColumn("place", place).filter(F.col("place") <= centre_count)
+        centres = stored(spark, centres.select("bucket", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp")), at, "centres")
+        l, r = live.alias("l"), centres.alias("r")
+        fits = F.lit(100) * F.least("n", "c_n") >= F.lit(threshold) * F.greatest("n", "c_n")
+        star = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("comp") != F.col("c_comp")) & fits)
+        low = F.col("c") < F.col("node")
+        edges = star.select(
+            F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"),
+            F.when(low, F.col("c_comp")).otherwise(F.col("comp")).alias("a_comp"), F.when(low, F.col("comp")).otherwise(F.col("c_comp")).alias("b_comp"),
         ).distinct()
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
@@ -244,23 +227,21 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
         new = components(links, f"{at}/components").select(F.col("u").alias("comp"), F.col("v").alias("to"))
         done = edges.select("a", "b")
         tested = done if tested is None else tested.unionByName(done)
-        rest = members if seed else live.select("node", "n", "band", "bucket", "comp")
-        members = stored(
-            spark,
-            rest.join(new, "comp", "left").select("node", "n", "band", "bucket", F.coalesce("to", "comp").alias("comp")),
-            folder,
-            f"members-{step}",
-        )
+        rest = members if seed else live.join(centres.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
+        moved = lambda t, new=new: t.join(new, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+        members = stored(spark, moved(rest).select("node", "n", "band", "bucket", "comp"), folder, f"members-{step}")
+        nodes = stored(spark, moved(nodes).select("node", "comp"), folder, f"nodes-{step}")
         forget(spark, f"{folder}/members-{step - 1}")
-        relabelled.append(new)
+        forget(spark, f"{folder}/nodes-{step - 1}")
+        if not seed:
+            centre_count *= CENTRE_GROWTH
         seed = False
 
-    label = classes.select("fp", "cid", F.col("node").alias("comp"))
-    for new in relabelled:
-        label = label.join(new, "comp", "left").select("fp", "cid", F.coalesce("to", "comp").alias("comp"))
-    label = stored(spark, label, folder, "labels")
-    least = label.groupBy("comp").agg(F.min("cid").alias("component_id"))
-    found = label.join(least, "comp").select("fp", "component_id")
+    named = nodes.join(classes.select("node", "cid"), "node")
+    named = named.join(named.groupBy("comp").agg(F.min("cid").alias("component_id")), "comp").select("node", "component_id", F.lit(True).alias("linked"))
+    named = stored(spark, named, folder, "named")
+    of = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("cid"))
+    found = classes.select("fp", "node", "cid").join(named, "node", "left").select("fp", of.alias("component_id"))
     forget(spark, f"{folder}/bodies")
     return (
         signed.select("doc_id", F.col("n").alias("n_shingles"), "fp")
