@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import blank_words, fold, shared_dir, stored, text_bytes
 
 FREQUENT, BUCKETS, CLASSES = 1000, 200, 48
-HOT, HOT_BYTES = 200_000, 64
+HOT, HOT_BYTES = 100_000, 64
 ADD = 0.5
 SWEEPS = 8
 #: A token that no word can be, as it is a blank.
@@ -195,15 +195,18 @@ def train(docs: DataFrame, folder: str, frequent: int = FREQUENT, classes: int =
     spark = docs.sparkSession
     texts = docs.select(text_bytes().alias("text"))
     counts = stored(spark, texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), folder, "counts")
-    top = counts.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(hot).collect()
+    # Arrow tables, not rows: the bounded tables stay small in the driver too
+    top = counts.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(hot).toArrow()
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = {bytes(r["word"]): r["c"] for r in top}
+    known = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
+    del top
     units = Units([END, *(w for w in list(known)[:frequent] if w != END)])
     shared = spark.sparkContext.broadcast(units)
     pairs = texts.mapInArrow(_count_bigrams(shared), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    cells = pairs.toArrow()  # at most the square of the units
     n = np.zeros(units.size**2)
-    for pair, c in pairs.toPandas().itertuples(index=False):  # at most the square of the units
-        n[pair] = c
+    n[cells["pair"].to_numpy()] = cells["c"].to_numpy()
+    del cells
     n = n.reshape(units.size, units.size)
     of = exchange(n, units[END], classes)
     k = int(of.max()) + 1
