@@ -1,10 +1,8 @@
-"""All queries over the driver tables, with the DuckDB SQL that must give the same rows."""
+"""All queries over the driver tables; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import catalogue, conversations, evaluation, files, scheduling, sessions, streams  # noqa: F401
+from .base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
