@@ -131,4 +131,4 @@ def host_models(hosts: str, keys: str, models: str) -> Column:
     parts = [F.split(F.lit(s), ";") for s in (hosts, keys, models)]
     zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("host", "key", "models"))))
     whole = F.slice(zipped, F.lit(1), F.least(*(F.size(p) for p in parts)))
-    return F.transform(whole, lambda z: F.struct(z["0"].alias("host"), z["1"].alias("key"), F.split(z["2"], ",").alias("models")))
+    return F.transform(whole, lambda z: F.struct(z["host"].alias("host"), z["key"].alias("key"), F.split(z["models"], ",").alias("models")))
