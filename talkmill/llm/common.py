@@ -61,18 +61,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = os.environ.setdefault("TALKMILL_TEST_SHARED", tempfile.mkdtemp(prefix="talkmill-"))
+        if "TALKMILL_TEST_SHARED" not in os.environ:
+            os.environ["TALKMILL_TEST_SHARED"] = tempfile.mkdtemp(prefix="talkmill-")
+        path = os.environ["TALKMILL_TEST_SHARED"]
     return path.rstrip("/")
 
 
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: lineage ends here and survives a lost executor."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def stored(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
     path = f"{folder}/{name}"

@@ -6,7 +6,8 @@ the length of the longest match ending there. A run of at least ``window`` words
 a shorter item) marks the words it covers.
 
 Defined cases: a null or word-less text has no words and no hits; a null item or an item without
-words never occurs; items that repeat an item_id count once; repeated document rows each get
+words never occurs; items that repeat an item_id count once,
+those without one mark words but are not listed; repeated document rows each get
 their own, equal, result; an empty benchmark hits nothing; extra columns are ignored.
 """
 
@@ -192,7 +193,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
                 words = alnum_words(text.as_py())
                 hit, found, longest = _scan_all(blocks, words)
                 n = hit.count(1)
-                ids = sorted(x or "" for x in found)
+                ids = sorted(x for x in found if x is not None)
                 rows.append((len(words), n, len(ids), ids, _spans(hit) if n else [], longest, n > 0 and cover * n >= len(words)))
             cols = list(zip(*rows)) if rows else [()] * 7
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.int64(), pa.bool_()]
