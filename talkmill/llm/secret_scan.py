@@ -14,6 +14,7 @@ result row, repeated rows equal ones; an empty table gives no rows; extra column
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import stored, whole_text
 
 #: Raised with every change of RULES or of their checks.
 RULE_VERSION = 1
@@ -95,8 +96,10 @@ def scan(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text",
     known = read_ledger(docs.sparkSession, ledger, rule_version)
     if known is None:  # nothing was ever scanned
         known = docs.sparkSession.createDataFrame([], LEDGER)
-    # a retried append may repeat a blob; its findings are the same. Blobs without findings need no partner.
+    # Two runs at once may both append a blob, with the same findings. Blobs without findings need no partner. Written,
+    # the findings are a plain side of the join, so Spark can split the rows of a blob with very many paths.
     known = known.filter(F.size("findings") > 0).dropDuplicates(["blob"])
+    known = stored(docs.sparkSession, known, f"{ledger}-joins", uuid.uuid4().hex)
     return docs.select(F.col(path), _versions(docs, text).alias("blob")).join(known, "blob", "left")
 
 
