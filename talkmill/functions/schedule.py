@@ -77,3 +77,8 @@ def stored_time(t: Column) -> Column:
 
 def parsed_time(s: Column) -> Column:
     return F.to_timestamp_ntz(s, F.lit(FORMAT))
+
+
+def local_text(t: Column, zone: str, layout: str = "EEEE, yyyy-MM-dd HH:mm:ss") -> Column:
+    """A UTC moment as text of a time zone."""
+    return F.date_format(F.from_utc_timestamp(t, zone), layout)

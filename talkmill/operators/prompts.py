@@ -132,3 +132,25 @@ def host_models(hosts: str, keys: str, models: str) -> Column:
     zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("host", "key", "models"))))
     whole = F.slice(zipped, F.lit(1), F.least(*(F.size(p) for p in parts)))
     return F.transform(whole, lambda z: F.struct(z["host"].alias("host"), z["key"].alias("key"), F.split(z["models"], ",").alias("models")))
+
+
+def configured(config: DataFrame, changes: DataFrame) -> DataFrame:
+    """Settings (method, key, value) with changes set into them."""
+    return config.join(changes.select("method", "key"), ["method", "key"], "left_anti").unionByName(changes.select("method", "key", "value"))
+
+
+def reset_config(config: DataFrame, defaults: DataFrame, method: str) -> DataFrame:
+    """The method's settings as by default; other methods' stay."""
+    return config.filter(F.col("method") != method).unionByName(defaults.filter(F.col("method") == method).select("method", "key", "value"))
+
+
+def schema_of(settings: type) -> dict:
+    """The JSON schema of a dataclass of settings; fields without a default are required."""
+    import dataclasses
+
+    kinds = {str: "string", int: "integer", float: "number", bool: "boolean", list: "array", dict: "object"}
+    fields = dataclasses.fields(settings)
+    given = lambda f: f.default is not dataclasses.MISSING or f.default_factory is not dataclasses.MISSING
+    hints = {f.name: f.type if isinstance(f.type, type) else {k.__name__: k for k in kinds}.get(str(f.type), str) for f in fields}
+    props = {f.name: {"type": kinds.get(hints[f.name], "string")} | ({"default": f.default} if f.default is not dataclasses.MISSING else {}) for f in fields}
+    return {"type": "object", "properties": props, "required": [f.name for f in fields if not given(f)]}

@@ -38,7 +38,7 @@ class Tools:
             "required": [p.name for p in params if p.default is p.empty],
         }
 
-    def call(self, name: str, state: dict[str, DataFrame], **args) -> DataFrame:
+    def call(self, name: str, state: dict[str, DataFrame], /, **args) -> DataFrame:
         if name not in self._tools:
             raise KeyError(f"no tool {name}")
         schema = self.schema(name)
@@ -111,3 +111,11 @@ def search_chats(state: dict, query: str) -> DataFrame:
     from talkmill.operators import conversations
 
     return conversations.search(state["messages"], query)
+
+
+@tools.add("Chats", "GatherUserInfo")
+def gather_user_info(state: dict) -> DataFrame:
+    """All chats as transcripts: what a model is given to tell about the user."""
+    from talkmill.operators import conversations
+
+    return conversations.transcripts(state["messages"])
