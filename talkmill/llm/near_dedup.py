@@ -5,12 +5,15 @@
    rank in the bin; an empty bin borrows from the first non-empty bin of its own random sequence, the
    same for all texts. With 40 bands of 5 a pair at similarity 0.8 is missed with probability 1e-7.
 2. Texts of equal fingerprints form a class, on the map side first, so copies never meet in pairs.
-3. In every bucket the member of the smallest number is the centre and gets an edge to each member of
-   another component; edges are confirmed on the full sets, and components grow by the links found. The
-   centre, now held against all, leaves the bucket. Buckets of one component are done; the others go on with 4, 16,
-   64 ... centres. So edges are stars, groups of near copies cost a star or two each, and no pair of a bucket
-   goes untested unless it is in one component already; rounds grow with the logarithm of the largest
-   bucket. A first round over ``SEED_BANDS`` bands joins most near copies before the other bands are looked at.
+3. A first round over ``SEED_BANDS`` bands joins most near copies: the smallest member of a bucket is its
+   centre and gets an edge to each other one. After that, a bucket matters only while it holds more than
+   one component. Its members outside the component that has most of it become centres, ``CENTRES`` at first
+   and ``GROWTH`` times as many in each further round, with an edge to each member of another component that
+   its size and a sketch of ``SKETCH`` bits allow; then they leave the bucket. So edges are stars, a large
+   group of near copies costs a star or two, rounds grow with the logarithm of the largest bucket,
+   and no pair of a bucket goes untested unless it is in one component already. The sketch's bound lies
+   ``SIGMAS`` standard deviations under what a pair at the threshold shows.
+   Edges are confirmed on the full sets.
 4. Components are found by large-star / small-star steps over the links between components.
 
 All tables stay distributed; what rounds hand on is written to the shared folder.
@@ -39,8 +42,8 @@ from .common import blank_words, forget, shared_dir, stored, text_bytes
 
 THRESHOLD = 80  # per cent
 BANDS, ROWS, SEED_BANDS = 40, 5, 4
-#: A bucket has 1 centre in its first round, then so many times as many in each further one.
-CENTRE_GROWTH = 4
+CENTRES, GROWTH = 16, 8
+SKETCH, SIGMAS = 512, 4.5
 _U = np.uint64
 
 
@@ -75,7 +78,7 @@ class Signer:
         self.bands, self.rows, self.bins = bands, rows, bands * rows
         rng = np.random.default_rng(20_240_601)
         #: For each bin the sequence of bins it borrows from.
-        self.order = rng.integers(0, self.bins, size=(self.bins, 64 * self.bins // 8), dtype=np.int64)
+        self.order = rng.integers(0, self.bins, size=(self.bins, 1024), dtype=np.int64)
         self.salt = mix(np.arange(1, bands + 1, dtype=_U))
         self.factors = mix(np.arange(1, rows + 1, dtype=_U)) | _U(1)
 
@@ -104,6 +107,11 @@ class Signer:
         return mix((parts * self.factors).sum(1) + self.salt).view(np.int64)
 
 
+    def sketch(self, hashes: np.ndarray) -> np.ndarray:
+        """One bit of each bin's value, 64 to a long."""
+        return np.packbits((self.bins_of(hashes) & _U(1)).astype(np.uint8)).view(np.int64)
+
+
 def _fingerprint(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -126,6 +134,21 @@ def _sign(size: int, bands: int, rows: int):
     return run
 
 
+def _sketch(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(SKETCH, 1)
+        for batch in batches:
+            bits = [signer.sketch(shingles(t.as_py(), size)) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(bits, pa.list_(pa.int64())), batch["text"]], names=["node", "bits", "text"])
+
+    return run
+
+
+def agreeing(a, b):
+    """How many bits of two sketches (array columns) agree."""
+    return F.lit(SKETCH) - sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, SKETCH // 64)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= threshold * (len(a) + len(b) - both)
@@ -172,6 +195,27 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     return edges
 
 
+def _fits(threshold: int):
+    """Whether two sizes, n and c_n, allow the threshold."""
+    return F.lit(100) * F.least("n", "c_n") >= F.lit(threshold) * F.greatest("n", "c_n")
+
+
+def _least_bits(threshold: int):
+    """Agreeing bits that a pair of sizes n and c_n at the threshold all but surely has."""
+    p = (1 + threshold / 100) / 2
+    spread = F.sqrt(F.lit(p * (1 - p)) / F.least(F.lit(SKETCH), "n", "c_n"))
+    return F.lit(SKETCH) * (F.lit(p) - F.lit(SIGMAS) * spread)
+
+
+def _linked(spark, edges: DataFrame, bodies: DataFrame, size: int, threshold: int, folder: str) -> DataFrame:
+    """Component -> smaller component (comp, to), by those edges that the full sets confirm."""
+    edges = stored(spark, edges, folder, "edges")
+    pair = edges.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+    pair = pair.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+    links = pair.mapInArrow(_confirm(size, threshold), "a_comp long, b_comp long")
+    return components(links, f"{folder}/components").select(F.col("u").alias("comp"), F.col("v").alias("to"))
+
+
 def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, fp (of the set), component_id and kept, one row per document row."""
     spark = docs.sparkSession
@@ -187,56 +231,54 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
     )
     every = classes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
-    members = stored(spark, every.join(shared, "bucket").withColumn("comp", F.col("node")), folder, "members-0")
+    found = stored(spark, every.join(shared, "bucket"), folder, "shared")
 
     # one text of each class that shares a bucket, by the text's own digest
-    needed = members.select("node").distinct().join(classes.select("node", "key"), "node")
+    needed = found.select("node").distinct().join(classes.select("node", "key"), "node")
     bodies = texts.select("key", "text").dropDuplicates(["key"]).join(needed, "key").select("node", "text")
-    bodies = stored(spark, bodies, folder, "bodies")
-
-    nodes = stored(spark, members.select("node", "comp").distinct(), folder, "nodes-0")
-    tested, step, seed, centre_count = None, 0, True, 1
+    bodies = stored(spark, bodies.mapInArrow(_sketch(size), "node long, bits array<long>, text binary"), folder, "bodies")
+
+    # seed: one star in each bucket of a few bands
+    seed = found.filter(F.col("band") < SEED_BANDS)
+    centre = seed.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c")).select("bucket", F.col("c.node").alias("c"), F.col("c.n").alias("c_n"))
+    star = seed.join(centre, "bucket").filter((F.col("c") < F.col("node")) & _fits(threshold))
+    edges = star.select(F.col("c").alias("a"), F.col("node").alias("b"), F.col("c").alias("a_comp"), F.col("node").alias("b_comp")).distinct()
+    moves = [_linked(spark, edges, bodies, size, threshold, f"{folder}/seed")]
+    members = found.withColumn("comp", F.col("node")).join(bodies.select("node", "bits"), "node")
+    step, centres_each = 0, CENTRES
     while True:
         step += 1
         at = f"{folder}/round-{step}"
-        live = members.filter(F.col("band") < SEED_BANDS) if seed else members
-        mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-        live = stored(spark, live.join(mixed, "bucket"), at, "live")
+        moved = members.join(moves[-1], "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+        members = stored(spark, moved, at, "members")
+        most = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
+        most = most.agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("k")).filter("k > m.k")
+        most = most.select("bucket", F.col("m.comp").alias("main"), (F.col("k") - F.col("m.k")).alias("others"))
+        live = stored(spark, members.join(most, "bucket"), at, "live")
         if live.isEmpty():
-            if not seed:
-                break
-            seed = False
-            continue
+            break
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        centres = live.withColumn("place", place).filter(F.col("place") <= centre_count)
-        centres = stored(spark, centres.select("bucket", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp")), at, "centres")
-        l, r = live.alias("l"), centres.alias("r")
-        fits = F.lit(100) * F.least("n", "c_n") >= F.lit(threshold) * F.greatest("n", "c_n")
-        star = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("comp") != F.col("c_comp")) & fits)
+        centre = live.filter("comp <> main").withColumn("place", place).filter(F.col("place") <= centres_each)
+        centre = centre.select("bucket", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp"), F.col("bits").alias("c_bits"))
+        centre = stored(spark, centre, at, "centres")
+        l, r = live.alias("l"), centre.alias("r")
+        near = agreeing(F.col("bits"), F.col("c_bits")) >= _least_bits(threshold)
+        star = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("comp") != F.col("c_comp")) & _fits(threshold) & near)
         low = F.col("c") < F.col("node")
         edges = star.select(
             F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"),
             F.when(low, F.col("c_comp")).otherwise(F.col("comp")).alias("a_comp"), F.when(low, F.col("comp")).otherwise(F.col("c_comp")).alias("b_comp"),
         ).distinct()
-        if tested is not None:
-            edges = edges.join(tested, ["a", "b"], "left_anti")
-        edges = stored(spark, edges, at, "edges")
-        pair = edges.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        pair = pair.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        links = pair.mapInArrow(_confirm(size, threshold), "a_comp long, b_comp long")
-        new = components(links, f"{at}/components").select(F.col("u").alias("comp"), F.col("v").alias("to"))
-        done = edges.select("a", "b")
-        tested = done if tested is None else tested.unionByName(done)
-        rest = members if seed else live.join(centres.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
-        moved = lambda t, new=new: t.join(new, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
-        members = stored(spark, moved(rest).select("node", "n", "band", "bucket", "comp"), folder, f"members-{step}")
-        nodes = stored(spark, moved(nodes).select("node", "comp"), folder, f"nodes-{step}")
-        forget(spark, f"{folder}/members-{step - 1}")
-        forget(spark, f"{folder}/nodes-{step - 1}")
-        if not seed:
-            centre_count *= CENTRE_GROWTH
-        seed = False
-
+        moves.append(_linked(spark, edges, bodies, size, threshold, at))
+        # buckets whose others have all been centres are done
+        rest = live.filter(F.col("others") > centres_each).select("bucket", "node", "n", "comp", "bits")
+        members = rest.join(centre.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
+        centres_each *= GROWTH
+
+    nodes = found.select("node").distinct().withColumn("comp", F.col("node"))
+    for move in moves:
+        nodes = nodes.join(move, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    nodes = stored(spark, nodes, folder, "nodes")
     named = nodes.join(classes.select("node", "cid"), "node")
     named = named.join(named.groupBy("comp").agg(F.min("cid").alias("component_id")), "comp").select("node", "component_id", F.lit(True).alias("linked"))
     named = stored(spark, named, folder, "named")

@@ -78,3 +78,20 @@ def test_densified_bins_match_as_often_as_sets_are_similar():
             h = np.unique(rng.integers(0, 2**64, size=size * 6 // 5, dtype=np.uint64))
             rate.append((signer.bins_of(h) == signer.bins_of(np.sort(h[rng.permutation(len(h))[:size]]))).mean())
         assert abs(np.mean(rate) - 5 / 6) < 0.03
+
+
+def test_sketches_let_similar_pairs_through():
+    signer = n.Signer(n.SKETCH, 1)
+    rng = np.random.default_rng(5)
+    for size in (9, 40, 400, 3000):
+        passed = strangers = 0
+        for k in range(80):
+            h = np.unique(rng.integers(0, 2**64, size=size, dtype=np.uint64))
+            for share, similar in ((1 / 9, True), (0.4, False)):  # similarity 0.8 and 3/7
+                other = h.copy()
+                other[rng.permutation(len(h))[: int(len(h) * share)]] = rng.integers(0, 2**64, size=int(len(h) * share), dtype=np.uint64)
+                agree = n.SKETCH - int(np.unpackbits((signer.sketch(h) ^ signer.sketch(np.unique(other))).view(np.uint8)).sum())
+                ok = agree >= n.SKETCH * (0.9 - n.SIGMAS * (0.09 / min(n.SKETCH, len(h))) ** 0.5)
+                passed += ok and similar
+                strangers += ok and not similar
+        assert passed == 80 and (size < 400 or strangers == 0)
