@@ -72,7 +72,7 @@ def _blanks(c: Column) -> Column:
 
 
 def _any(words: list[str]) -> str:
-    return "(?i)" + "|".join(f" {w} " for w in words)
+    return f"(?i) (?:{'|'.join(words)}) "
 
 
 def word_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, int]:
@@ -135,8 +135,11 @@ def scan(
 
     base = docs.select(F.col("doc_id"), spaced(whole_text(text)).alias("_s"))
     base = base.select("doc_id", "_s", F.when(F.col("_s") == "  ", F.lit(0)).otherwise(_blanks(F.col("_s")) - 1).cast("long").alias("n_words"))
-    told = F.col("_s").rlike(_any([p for p, _ in phrases]))
-    likely = F.col("_s").rlike(_any(sorted(prefixes)))
+    # one look at every text; the others only at the few that hold a phrase or a prefix word
+    phrase_words = [p for p, _ in phrases]
+    base = base.withColumn("_c", F.col("_s").rlike(_any([*phrase_words, *sorted(prefixes)])))
+    told = F.col("_c") & F.col("_s").rlike(_any(phrase_words))
+    likely = F.col("_c") & F.col("_s").rlike(_any(sorted(prefixes)))
     # a split before each place: word i stands after i + 1 blanks, the first of them its own
     parts = [F.when(told, F.split(F.concat(F.lit("#"), F.col("_s")), f"(?i)(?= {p} )", -1)) for p, _ in phrases]
     found = base.select(
