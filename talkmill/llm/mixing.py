@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Equal weights of the twenty sources of the corpus.
 TARGETS = {f"src{i}": 1.0 for i in range(20)}
 MAX_SOURCES = 10_000
@@ -79,7 +81,8 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, total: float =
     names = [c for c in docs.columns if c != "copy_no"]
     copies = docs.select(*names, F.explode(F.sequence(F.lit(0), drawn)).alias("copy_no")).filter("copy_no > 0")
     place = F.md5(F.concat(F.lit(f"{seed}|place|"), F.col("copy_no").cast("string"), F.lit("|"), identity()))
-    return copies.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").drop("_place")
+    own = fresh("_place", names)
+    return copies.withColumn(own, place).repartition(own).sortWithinPartitions(own).drop(own)
 
 
 def oracle(targets: dict[str, float] = TARGETS, seed: str = SEED) -> str:

@@ -9,7 +9,8 @@
    centre and gets an edge to each other one. After that, a bucket matters only while it holds more than
    one component. Its members outside the component that has most of it become centres, ``CENTRES`` at first
    and ``GROWTH`` times as many in each further round, with an edge to each member of another component that
-   its size and a sketch of ``SKETCH`` bits allow; then they leave the bucket. So edges are stars, a large
+   its size and a sketch allow (the half hashes of sets up to ``SKETCH`` shingles, ``SKETCH`` bits of larger ones);
+   then they leave the bucket. So edges are stars, a large
    group of near copies costs a star or two, rounds grow with the logarithm of the largest bucket,
    and no pair of a bucket goes untested unless it is in one component already. The sketch's bound lies
    ``SIGMAS`` standard deviations under what a pair at the threshold shows.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import blank_words, forget, shared_dir, stored, text_bytes
+from .common import blank_words, forget, fresh, shared_dir, stored, text_bytes
 
 THRESHOLD = 80  # per cent
 BANDS, ROWS, SEED_BANDS = 40, 5, 4
@@ -138,8 +139,13 @@ def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(SKETCH, 1)
         for batch in batches:
-            bits = [signer.sketch(shingles(t.as_py(), size)) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(bits, pa.list_(pa.int64())), batch["text"]], names=["node", "bits", "text"])
+            sets = [shingles(t.as_py(), size) for t in batch["text"]]
+            bits = [signer.sketch(h) for h in sets]
+            # the low halves of the hashes, whose high halves they are sorted by
+            small = [(h & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if len(h) <= SKETCH else None for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch["node"], pa.array(bits, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int32())), batch["text"]], names=["node", "bits", "small", "text"]
+            )
 
     return run
 
@@ -168,17 +174,19 @@ def _confirm(size: int, threshold: int):
     return run
 
 
-def _mark(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count(F.lit(1)), F.sum((F.xxhash64("u", "v") % 1_000_000_007))).first())
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars: each u has one v, which is no u itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("inn")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("inn").alias("inn"))
+    return not ends.agg(F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("inn") > 0)))).first()[0]
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(u, v): every end of a link but the smallest of its component, with that smallest one as v."""
     spark = links.sparkSession
     edges = links.select(F.greatest("a_comp", "b_comp").alias("u"), F.least("a_comp", "b_comp").alias("v")).filter("u <> v").distinct()
-    edges = stored(spark, edges, folder, "0")
-    mark, step = _mark(edges), 0
-    while mark[0]:
+    edges, step = stored(spark, edges, folder, "0"), 0
+    while not _is_forest(edges):
         # large star: the larger neighbours of a node go to its smallest one
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -189,9 +197,6 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         step += 1
         edges = stored(spark, small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), folder, str(step))
         forget(spark, f"{folder}/{step - 1}")
-        if (now := _mark(edges)) == mark:
-            break
-        mark = now
     return edges
 
 
@@ -200,11 +205,15 @@ def _fits(threshold: int):
     return F.lit(100) * F.least("n", "c_n") >= F.lit(threshold) * F.greatest("n", "c_n")
 
 
-def _least_bits(threshold: int):
-    """Agreeing bits that a pair of sizes n and c_n at the threshold all but surely has."""
+def _near(threshold: int):
+    """Whether a pair may reach the threshold: two small sets by their common half hashes (one may be lost to a
+    collision), others by the bits that a pair of sizes n and c_n at the threshold all but surely agrees in."""
+    both = F.size(F.array_intersect("small", "c_small")) + 1
     p = (1 + threshold / 100) / 2
     spread = F.sqrt(F.lit(p * (1 - p)) / F.least(F.lit(SKETCH), "n", "c_n"))
-    return F.lit(SKETCH) * (F.lit(p) - F.lit(SIGMAS) * spread)
+    bits = agreeing(F.col("bits"), F.col("c_bits")) >= F.lit(SKETCH) * (F.lit(p) - F.lit(SIGMAS) * spread)
+    small = F.col("small").isNotNull() & F.col("c_small").isNotNull()
+    return F.when(small, 100 * both >= threshold * (F.col("n") + F.col("c_n") - both)).otherwise(bits)
 
 
 def _linked(spark, edges: DataFrame, bodies: DataFrame, size: int, threshold: int, folder: str) -> DataFrame:
@@ -236,7 +245,7 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
     # one text of each class that shares a bucket, by the text's own digest
     needed = found.select("node").distinct().join(classes.select("node", "key"), "node")
     bodies = texts.select("key", "text").dropDuplicates(["key"]).join(needed, "key").select("node", "text")
-    bodies = stored(spark, bodies.mapInArrow(_sketch(size), "node long, bits array<long>, text binary"), folder, "bodies")
+    bodies = stored(spark, bodies.mapInArrow(_sketch(size), "node long, bits array<long>, small array<int>, text binary"), folder, "bodies")
 
     # seed: one star in each bucket of a few bands
     seed = found.filter(F.col("band") < SEED_BANDS)
@@ -244,7 +253,7 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
     star = seed.join(centre, "bucket").filter((F.col("c") < F.col("node")) & _fits(threshold))
     edges = star.select(F.col("c").alias("a"), F.col("node").alias("b"), F.col("c").alias("a_comp"), F.col("node").alias("b_comp")).distinct()
     moves = [_linked(spark, edges, bodies, size, threshold, f"{folder}/seed")]
-    members = found.withColumn("comp", F.col("node")).join(bodies.select("node", "bits"), "node")
+    members = found.select("node", "n", "bucket").withColumn("comp", F.col("node"))
     step, centres_each = 0, CENTRES
     while True:
         step += 1
@@ -254,16 +263,15 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
         most = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
         most = most.agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("k")).filter("k > m.k")
         most = most.select("bucket", F.col("m.comp").alias("main"), (F.col("k") - F.col("m.k")).alias("others"))
-        live = stored(spark, members.join(most, "bucket"), at, "live")
-        if live.isEmpty():
+        live = stored(spark, members.join(most, "bucket").join(bodies.select("node", "bits", "small"), "node"), at, "live")
+        if not live.count():
             break
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
         centre = live.filter("comp <> main").withColumn("place", place).filter(F.col("place") <= centres_each)
-        centre = centre.select("bucket", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp"), F.col("bits").alias("c_bits"))
+        centre = centre.select("bucket", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp"), F.col("bits").alias("c_bits"), F.col("small").alias("c_small"))
         centre = stored(spark, centre, at, "centres")
         l, r = live.alias("l"), centre.alias("r")
-        near = agreeing(F.col("bits"), F.col("c_bits")) >= _least_bits(threshold)
-        star = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("comp") != F.col("c_comp")) & _fits(threshold) & near)
+        star = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("comp") != F.col("c_comp")) & _fits(threshold) & _near(threshold))
         low = F.col("c") < F.col("node")
         edges = star.select(
             F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"),
@@ -271,7 +279,7 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
         ).distinct()
         moves.append(_linked(spark, edges, bodies, size, threshold, at))
         # buckets whose others have all been centres are done
-        rest = live.filter(F.col("others") > centres_each).select("bucket", "node", "n", "comp", "bits")
+        rest = live.filter(F.col("others") > centres_each).select("bucket", "node", "n", "comp")
         members = rest.join(centre.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
         centres_each *= GROWTH
 
@@ -312,17 +320,18 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> Data
         wordless = docs.filter(_wordless())
         rest = docs.filter(~_wordless())
         return rest.join(ids, rest["doc_id"].cast("long") == ids["_id"], "left_semi").unionByName(wordless)
-    schema = T.StructType([*docs.schema, T.StructField("_fp", T.BinaryType())])
+    own = fresh("_fp", names)
+    schema = T.StructType([*docs.schema, T.StructField(own, T.BinaryType())])
 
     def stamp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles((t.as_py() or "").encode(), size) for t in batch["text"]]
-            yield batch.append_column("_fp", pa.array([_fingerprint(h) if len(h) else None for h in sets], pa.binary()))
+            yield batch.append_column(own, pa.array([_fingerprint(h) if len(h) else None for h in sets], pa.binary()))
 
     stamped = docs.mapInArrow(stamp, schema)
-    match = stamped["_fp"].eqNullSafe(leaders["_fp"]) & stamped["doc_id"].cast("long").eqNullSafe(leaders["_id"])
-    first = stamped.join(leaders.drop("_again"), match, "left_semi").dropDuplicates(["_fp"])
-    return first.select(names).unionByName(stamped.filter("_fp is null").select(names))
+    match = stamped[own].eqNullSafe(leaders["_fp"]) & stamped["doc_id"].cast("long").eqNullSafe(leaders["_id"])
+    first = stamped.join(leaders.drop("_again"), match, "left_semi").dropDuplicates([own])
+    return first.select(names).unionByName(stamped.filter(F.col(own).isNull()).select(names))
 
 
 def _wordless():

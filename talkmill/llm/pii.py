@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, whole_text
+from .common import fold, fresh, whole_text
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: kind, pattern, what a text must hold for it to match. They match what the plain patterns of the contract match,
@@ -285,7 +285,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Columns stay as they are, but for the text of rows with spans and, where there is one, their ``n_chars``.
     """
     names = docs.columns
-    clash = {c: f"{c}__" for c in names if c in ("_text", "_base", "_more", "_found", "_new")}
+    clash = {c: fresh(f"{c}_", names) for c in names if c in ("_text", "_base", "_more", "_found", "_runs", "_new")}
     own = docs.withColumnsRenamed(clash)
     rows = found(own, train(docs), own.columns)
     kinds = F.array(*map(lambda k: F.lit(f"[{k.upper()}]"), KINDS))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, text_bytes
+from .common import fold, fresh, text_bytes
 
 #: Rows of units: words are hashed into the first WORDS, shapes into the others.
 WORDS, SHAPES = 6144, 2048
@@ -249,6 +249,6 @@ def digest(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with their own columns."""
-    narrow = docs.withColumnsRenamed({c: f"{c}_" for c in ("quality_score", "quality_ok") if c in docs.columns})
+    narrow = docs.withColumnsRenamed({c: fresh(c, docs.columns) for c in ("quality_score", "quality_ok") if c in docs.columns})
     kept = scored(narrow, labels).filter("quality_ok").drop("quality_score", "quality_ok")
     return kept.toDF(*docs.columns)
