@@ -142,9 +142,11 @@ def scan(
     likely = F.col("_c") & F.col("_s").rlike(_any(sorted(prefixes)))
     # a split before each place: word i stands after i + 1 blanks, the first of them its own
     parts = [F.when(told, F.split(F.concat(F.lit("#"), F.col("_s")), f"(?i)(?= {p} )", -1)) for p, _ in phrases]
+    # a column of its own, used twice: inside the lambda of the blocks the text would be split for each block
+    base = base.withColumn("_w", F.when(likely, F.split(F.trim(lower_ascii(F.col("_s"))), " ")))
     found = base.select(
         "doc_id", "n_words", *(p.alias(f"_p{k}") for k, p in enumerate(parts)),
-        F.when(likely, template_matches(F.split(F.trim(lower_ascii(F.col("_s"))), " "), ordered, sets, threshold, step)).alias("_m"),
+        F.when(F.col("_w").isNotNull(), template_matches(F.col("_w"), ordered, sets, threshold, step)).alias("_m"),
     )
     pieces = [F.col(f"_p{k}") for k in range(len(phrases))]
     places = [F.when(p.isNotNull(), F.size(p) - 1).otherwise(0) for p in pieces]

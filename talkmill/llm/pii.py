@@ -132,12 +132,12 @@ def counts(docs: DataFrame) -> list[tuple[tuple[bool, ...], int, bool, bool, int
     """(features, generator, calibration fold, weak label, how often) over all candidates of all texts."""
     t = docs.select(whole_text().alias("text"), (fold("doc_id", 5) == 0).alias("held"))
     t = t.select("text", "held", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("found"))
-    vector = F.transform(
-        "found",
-        lambda s: F.struct(s["kind"].alias("g"), F.array(*features(F.col("text"), s)).alias("f"), _overlaps(s, F.col("base")).alias("y")),
-    )
+    # base spans go through the explode as a column: inside the lambda they would be found anew for each candidate
+    vector = F.transform("found", lambda s: F.struct(s.alias("s"), F.array(*features(F.col("text"), s)).alias("f")))
+    rows = t.select("held", "base", F.explode(vector).alias("c"))
     bits = F.aggregate("c.f", F.lit(0), lambda a, b: a * 2 + b.cast("int"))
-    rows = t.select("held", F.explode(vector).alias("c")).groupBy(bits.alias("f"), F.col("c.g").alias("g"), "held", F.col("c.y").alias("y")).count().collect()
+    rows = rows.select("held", bits.alias("f"), F.col("c.s.kind").alias("g"), _overlaps(F.col("c.s"), F.col("base")).alias("y"))
+    rows = rows.groupBy("f", "g", "held", "y").count().collect()
     unpack = lambda v: tuple(bool(v >> (N_FEATURES - 1 - i) & 1) for i in range(N_FEATURES))
     return sorted((unpack(r["f"]), r["g"], r["held"], r["y"], r["count"]) for r in rows)
 

@@ -38,7 +38,7 @@ def random_text(rng):
 
 def test_query_against_brute_force(spark):
     rng = random.Random(8)
-    texts = [random_text(rng) for _ in range(500)] + [None, "", "x" * 200_000, "7" * 60_000, "a@" * 20_000, "1-" * 30_000, "+1 " * 20_000]
+    texts = [random_text(rng) for _ in range(500)] + [None, "", "x" * 200_000, "7" * 60_000, "a@" * 2_000, "1-" * 30_000, "+1 " * 20_000]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "a@b.c", "y"), (3, texts[3], "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(4)
     out = p.digest(docs).collect()
