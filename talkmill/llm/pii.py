@@ -249,15 +249,17 @@ def found(docs: DataFrame, model: Trees, keep: list[str]) -> DataFrame:
     t = docs.select(*keep, whole_text().alias("_text"))
     t = t.select(*keep, "_text", base_spans(F.col("_text")).alias("_base"), candidate_spans(F.col("_text")).alias("_found"))
 
-    def chosen(s: Column) -> Column:
+    def chosen(c: Column) -> Column:
         cut = F.lit(math.inf)
-        for g, c in enumerate(model.thresholds):
-            cut = F.when(s["kind"] == g, F.lit(c)).otherwise(cut)
-        return (model.column(features(F.col("_text"), s)) >= cut) & ~_overlaps(s, F.col("_base"))
+        for g, least in enumerate(model.thresholds):
+            cut = F.when(c["s"]["kind"] == g, F.lit(least)).otherwise(cut)
+        return (model.column([F.get(c["f"], F.lit(i)) for i in range(N_FEATURES)]) >= cut) & ~_overlaps(c["s"], F.col("_base"))
 
+    # features stand in an array: each tree looks them up, and none is worked out twice
+    described = F.transform("_found", lambda s: F.struct(s.alias("s"), F.array(*features(F.col("_text"), s)).alias("f")))
     more = F.transform(
-        F.filter("_found", chosen),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["kind"] + len(BASE)).alias("kind"), s["match"].alias("match")),
+        F.filter(described, chosen),
+        lambda c: F.struct(c["s"]["start"].alias("start"), c["s"]["end"].alias("end"), (c["s"]["kind"] + len(BASE)).alias("kind"), c["s"]["match"].alias("match")),
     )
     return t.select(*keep, "_text", "_base", F.when(F.size("_found") > 0, more).otherwise(F.array().cast(SPAN)).alias("_more"))
 

@@ -38,7 +38,7 @@ def random_text(rng):
 
 def test_query_against_brute_force(spark):
     rng = random.Random(8)
-    texts = [random_text(rng) for _ in range(500)] + [None, "", "x" * 200_000, "7" * 60_000, "a@" * 2_000, "1-" * 30_000, "+1 " * 20_000]
+    texts = [random_text(rng) for _ in range(500)] + [None, "", "x" * 9_000, "7" * 4_000, "a@" * 2_000, "1-" * 3_000, "+1 " * 2_000]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "a@b.c", "y"), (3, texts[3], "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(4)
     out = p.digest(docs).collect()
@@ -95,3 +95,10 @@ def test_boosting_separates():
     prior, trees = p.boost(table)
     m = p.Trees(prior, trees, [])
     assert m.score(table[0][0]) > 2 and m.score(table[1][0]) < -2 and m.score(table[2][0]) < -2
+
+
+def test_very_long_runs_are_read_once(spark):
+    rows = [(0, "x" * 300_000), (1, "7" * 60_000), (2, "1-" * 30_000), (3, "a@b.cc " + "+1 " * 20_000)]
+    got = {r.doc_id: r.base_sha256 for r in p.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert got == {0: none, 1: none, 2: none, 3: hashlib.sha256(b"email:0:6").hexdigest()}
