@@ -10,7 +10,8 @@ Queries are broadcast in blocks of ``QUERY_BLOCK`` vectors, and each block scans
 keeps k results per query; the merge shuffles only those.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component, and rows without
-a vec_id, take no part; so do components beyond ``LIMIT`` after scaling, whose products no long holds.
+a vec_id, take no part; so do components beyond ``LIMIT`` after scaling, which no long holds. Scores are
+exact integers of any size and ranked as such; one that no long holds is shown as the nearest long.
 Only vectors of a query's own length are its candidates. Rows that repeat a vec_id are all
 candidates; as a query, a vec_id counts once (its smallest vector). Fewer candidates than k: all of them.
 """
@@ -30,15 +31,18 @@ K = 20
 BITS = 6
 QUERY_BLOCK = 4096
 #: Largest integer component that takes part.
-LIMIT = float(2**31)
+LIMIT = float(2**63)
 #: Sums of products under this are exact in doubles.
 _EXACT = float(2**52)
+#: Bits of a score's lower part.
+_LOW = 62
 
 RESULT = T.StructType(
     [
         T.StructField("query_id", T.LongType()),
         T.StructField("vec_id", T.LongType()),
-        T.StructField("score", T.LongType()),
+        T.StructField("high", T.LongType()),  # score >> _LOW
+        T.StructField("low", T.LongType()),
     ]
 )
 
@@ -76,7 +80,15 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     if np.abs(query).sum() * np.abs(rows).max(initial=0) < _EXACT:
         return (rows @ query).astype(np.int64)
     big = [sum(int(a) * int(b) for a, b in zip(query, r)) for r in rows]
-    return np.array([max(-(2**63), min(2**63 - 1, x)) for x in big], dtype=np.int64)
+    return np.array(big, dtype=np.int64 if all(-(2**63) < x < 2**63 for x in big) else object)
+
+
+def _ranked(scores: np.ndarray, owners: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if scores.dtype == object:  # beyond a long
+        order = np.array(sorted(range(len(scores)), key=lambda i: (-int(scores[i]), owners[i]))[:k], dtype=np.int64)
+    else:
+        order = np.lexsort((owners, -scores))[:k]
+    return scores[order], owners[order]
 
 
 def search(file: VAFile, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, best: list, step: int = 64) -> None:
@@ -87,9 +99,11 @@ def search(file: VAFile, ids: np.ndarray, queries: np.ndarray, query_ids: np.nda
         row, r = centre[i], off[i]
         scores, owners = best[i]
         floor = float(scores[-1]) if len(scores) >= k else -np.inf
-        if n > k + 1:  # k + 1, as the query's own row may be among them
-            floor = max(floor, np.partition(row, n - k - 1)[n - k - 1] - r)
-        near = np.flatnonzero(row + r >= floor)
+        others = ids != query_ids[i]  # its own rows, however many, are no candidates
+        m = int(others.sum())
+        if m > k:
+            floor = max(floor, np.partition(row if m == n else row[others], m - k)[m - k] - r)
+        near = np.flatnonzero((row + r >= floor) & others)
         if not len(near):
             continue
         near = near[np.argsort(-row[near], kind="stable")]
@@ -98,12 +112,10 @@ def search(file: VAFile, ids: np.ndarray, queries: np.ndarray, query_ids: np.nda
             if len(scores) >= k and row[near[at]] + r < scores[-1]:
                 break  # no later bound reaches the k-th score
             part = near[at : at + step]
-            part = part[ids[part] != query_ids[i]]
             at += step
             s = np.concatenate([scores, exact(queries[i], file.vectors[part])])
             o = np.concatenate([owners, ids[part]])
-            order = np.lexsort((o, -s))[:k]
-            scores, owners = s[order], o[order]
+            scores, owners = _ranked(s, o, k)
         best[i] = (scores, owners)
 
 
@@ -133,8 +145,10 @@ def _scan(blocks: dict[int, tuple[np.ndarray, np.ndarray]], k: int, bits: int):
         for d, (_, q_ids) in blocks.items():
             counts = [len(s) for s, _ in best[d]]
             if sum(counts):
+                scores = np.concatenate([s for s, _ in best[d]])
+                parts = [pa.array((scores >> _LOW).astype(np.int64)), pa.array((scores & (2**_LOW - 1)).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, counts)), pa.array(np.concatenate([o for _, o in best[d]])), pa.array(np.concatenate([s for s, _ in best[d]]))],
+                    [pa.array(np.repeat(q_ids, counts)), pa.array(np.concatenate([o for _, o in best[d]])), *parts],
                     names=RESULT.names,
                 )
 
@@ -176,9 +190,11 @@ def topk(vectors: DataFrame, every: int = 20, k: int = K, scale: int = 64, bits:
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], RESULT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), F.asc("vec_id"))
+    most = F.when(F.col("high") > 1, 2**63 - 1).when(F.col("high") < -2, -(2**63))
+    score = most.otherwise(F.shiftleft("high", _LOW) + F.col("low"))
     return (
-        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
     )
 
 

@@ -43,3 +43,21 @@ def test_odd_rows(spark):
 def test_scores_beyond_doubles_are_exact():
     q, rows = np.array([2.0**30, 1.0]), np.array([[2.0**30, 1.0], [2.0**30, 0.0]])
     assert t.exact(q, rows).tolist() == [2**60 + 1, 2**60]
+
+
+def test_copies_of_a_query_push_no_neighbour_out():
+    rng = np.random.default_rng(3)
+    v = np.floor(rng.normal(size=(300, 8)) * 40)
+    ids = np.arange(300)
+    v[:25], ids[:25] = v[0] * 3, 0  # all lead the scores
+    best = [t._empty()]
+    t.search(t.VAFile(v, 6), ids, v[:1], ids[:1], 7, best)
+    want = sorted((-int(s), int(o)) for s, o in zip(v @ v[0], ids) if o != 0)[:7]
+    assert [(-int(s), int(o)) for s, o in zip(*best[0])] == want
+
+
+def test_large_components_take_part_and_rank_exactly(spark):
+    rows = [(0, [2.0**50, 1.0]), (1, [2.0**50, 0.0]), (2, [2.0**50, 1.0]), (3, [-(2.0**50), 0.0]), (4, [1.0, 2.0]), (5, [2.0**60, 0.0])]
+    got = sorted(map(tuple, t.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    top = 2**63 - 1
+    assert got == [(0, 1, 2, top), (0, 2, 1, top), (0, 3, 4, 64 * 64 * 2**50 + 64 * 64 * 2), (0, 4, 3, -(2**63))]
