@@ -226,7 +226,10 @@ def _linked(spark, edges: DataFrame, bodies: DataFrame, size: int, threshold: in
 
 
 def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, fp (of the set), component_id and kept, one row per document row."""
+    """doc_id, n_shingles, fp (of the set), component_id, comp and kept, one row per document row.
+
+    ``comp`` is the group's own number, null without words; unlike ``component_id`` it never stands for two groups.
+    """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/near-dedup-{uuid.uuid4().hex}"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).withColumn("key", F.unhex(F.md5("text")))
@@ -288,15 +291,15 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
         nodes = nodes.join(move, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
     nodes = stored(spark, nodes, folder, "nodes")
     named = nodes.join(classes.select("node", "cid"), "node")
-    named = named.join(named.groupBy("comp").agg(F.min("cid").alias("component_id")), "comp").select("node", "component_id", F.lit(True).alias("linked"))
+    named = named.join(named.groupBy("comp").agg(F.min("cid").alias("component_id")), "comp").select("node", "comp", "component_id", F.lit(True).alias("linked"))
     named = stored(spark, named, folder, "named")
     of = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("cid"))
-    found = classes.select("fp", "node", "cid").join(named, "node", "left").select("fp", of.alias("component_id"))
+    found = classes.select("fp", "node", "cid").join(named, "node", "left").select("fp", of.alias("component_id"), F.coalesce("comp", "node").alias("comp"))
     forget(spark, f"{folder}/bodies")
     return (
         signed.select("doc_id", F.col("n").alias("n_shingles"), "fp")
         .join(found, "fp", "left")
-        .select("doc_id", "n_shingles", "fp", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", "fp", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
@@ -309,13 +312,13 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> Data
     """The documents with one row of each group, that of the smallest doc_id; rows without words all stay.
 
     The columns stay as they are. Rows of one group that also share its smallest doc_id are told apart by
-    their sets' fingerprints and then as copies.
+    their sets' fingerprints and then as copies. Groups that share a doc_id, or have none, keep a row each.
     """
     names = docs.columns
-    found = groups(docs, size, threshold)
-    leaders = found.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("c"))
-    leaders = leaders.select(F.col("component_id").alias("_id"), F.col("fp").alias("_fp"), (F.col("c") > 1).alias("_again"))
-    if leaders.filter("_again or _id is null").isEmpty():
+    found = groups(docs, size, threshold).filter("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("m")
+    leaders = found.groupBy("comp").agg(first).select(F.col("m.doc_id").alias("_id"), F.col("m.fp").alias("_fp"))
+    if found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").isEmpty():
         ids = leaders.select("_id")
         wordless = docs.filter(_wordless())
         rest = docs.filter(~_wordless())
@@ -330,7 +333,7 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> Data
 
     stamped = docs.mapInArrow(stamp, schema)
     match = stamped[own].eqNullSafe(leaders["_fp"]) & stamped["doc_id"].cast("long").eqNullSafe(leaders["_id"])
-    first = stamped.join(leaders.drop("_again"), match, "left_semi").dropDuplicates([own])
+    first = stamped.join(leaders, match, "left_semi").dropDuplicates([own])
     return first.select(names).unionByName(stamped.filter(F.col(own).isNull()).select(names))
 
 

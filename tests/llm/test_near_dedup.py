@@ -69,6 +69,16 @@ def test_keep_one(spark):
     assert n.keep_one(docs.limit(0)).count() == 0
 
 
+def test_groups_that_share_an_id_or_have_none_keep_a_row_each(spark):
+    a, b, c = ("first text of seven words stands here", "a second one that shares no such run", "the third is again of other words")
+    schema = "doc_id long, text string"
+    nulls = [(None, a), (None, b), (None, b), (None, c), (4, c)]
+    assert sorted(map(str, map(tuple, n.keep_one(spark.createDataFrame(nulls, schema)).collect()))) == sorted(map(str, [(None, a), (None, b), (4, c)]))
+    # 7 names two unlinked texts; 8 leads one group and only follows 1 in another
+    rows = [(7, a), (7, b), (8, c), (8, "one more text that comes under two ids"), (1, "one more text that comes under two ids")]
+    assert sorted(map(tuple, n.keep_one(spark.createDataFrame(rows, schema)).collect())) == sorted([*rows[:3], rows[4]])
+
+
 def test_densified_bins_match_as_often_as_sets_are_similar():
     signer = n.Signer()
     rng = np.random.default_rng(1)
