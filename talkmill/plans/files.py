@@ -107,6 +107,25 @@ def ingestion(spark, sf):
     return load(spark, sf, "documents").select("doc_id", tx.ingested(F.coalesce(F.expr(_NAME), F.lit("")), t).alias("content"))
 
 
+_WHOLE_TICKS = _TICKS.replace("substr(text, 1, 200)", "text")
+
+
+@query("x16b_fence_whole", f"""SELECT doc_id, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all({_WHOLE_TICKS}, '`+'), lambda r: length(r))), 0) + 1)::INT) AS fence FROM documents""")
+def fence_whole(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", tx.fence(F.expr(_WHOLE_TICKS.replace("chr(", "char("))).alias("fence"))
+
+
+@query("x17b_unix_newlines_whole", f"SELECT doc_id, replace({_WHOLE_TICKS}, chr(13) || chr(10), chr(10)) AS text FROM documents")
+def newlines_whole(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", tx.unix_newlines(F.expr(_WHOLE_TICKS.replace("chr(", "char("))).alias("text"))
+
+
+@query("s14b_text_ingestion_whole")
+def ingestion_whole(spark, sf):
+    t = F.expr(_WHOLE_TICKS.replace("chr(", "char("))
+    return load(spark, sf, "documents").select("doc_id", tx.ingested(F.coalesce(F.expr(_NAME), F.lit("")), t).alias("content"))
+
+
 @query("x30_preview", """SELECT doc_id, CASE WHEN length(p) > 240 THEN p[:237] || '...' ELSE p END AS preview FROM (SELECT doc_id,
 array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 0)[1:3], chr(10)) AS p FROM documents)""")
 def preview(spark, sf):
@@ -128,6 +147,20 @@ def filled(spark, sf):
     return t.select("doc_id", tx.filled(F.expr(_BRACKETS), values).alias("text"))
 
 
+_WHOLE_BRACKETS = _BRACKETS.replace("substr(text, 1, 40)", "text")
+
+
+@query("x33b_placeholders_whole", f"SELECT doc_id, array_to_string(regexp_extract_all({_WHOLE_BRACKETS}, '\\[[^\\]]+\\]'), '|') AS found FROM documents")
+def placeholders_whole(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", F.array_join(tx.placeholders(F.expr(_WHOLE_BRACKETS)), "|").alias("found"))
+
+
+@query("x20b_filled_placeholders_whole")
+def filled_whole(spark, sf):
+    values = F.create_map(F.lit("[name]"), F.lit("Ann"), F.lit("[a b]"), F.lit("c"))
+    return load(spark, sf, "documents").select("doc_id", tx.filled(F.expr(_WHOLE_BRACKETS), values).alias("text"))
+
+
 @query("x5_model_host", "SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS host FROM pages")
 def model_host(spark, sf):
     return load(spark, sf, "pages").select("page_id", tx.model_host(F.col("url")).alias("host"))
@@ -150,6 +183,13 @@ def code_block(spark, sf):
     return t.select("doc_id", tx.code_block(reply).alias("code"))
 
 
+@query("x11b_code_block_whole")
+def code_block_whole(spark, sf):
+    text = F.col("text")
+    reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure:\n```python\n"), text, F.lit("\n```\nand ```x```"))).otherwise(text)
+    return load(spark, sf, "documents").select("doc_id", tx.code_block(reply).alias("code"))
+
+
 @query("x14_braced_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def braced(spark, sf):
     told = F.concat(F.lit("Here: "), "props", F.lit(" - done."))

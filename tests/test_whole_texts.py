@@ -36,3 +36,25 @@ def test_text_sniff_covers_long_bodies(spark, long_docs):
     sf, texts = long_docs
     body = lambda i, t: ["", t + "\x0b", "\x08" + t, t, t][i % 5]
     assert got(spark, "f8b_text_sniff_whole", sf) == {i: textual(body(i, t).encode()[:4096]) for i, t in texts.items()}
+
+
+def test_documents_are_read_to_their_ends(spark, long_docs):
+    sf, texts = long_docs
+    ticks = {i: f"{t}{'`' * (i % 6)}\r\nx``y" for i, t in texts.items()}
+    fence = lambda t: "`" * max(3, 1 + max(map(len, re.findall("`+", t))))
+    assert got(spark, "x16b_fence_whole", sf) == {i: fence(t) for i, t in ticks.items()}
+    unix = {i: t.replace("\r\n", "\n") for i, t in ticks.items()}
+    assert got(spark, "x17b_unix_newlines_whole", sf) == unix
+    fenced = lambda t: f"{fence(t)}python\n{t}\n{fence(t)}"
+    assert got(spark, "s14b_text_ingestion_whole", sf) == {i: fenced(t) if i % 6 == 3 else t for i, t in unix.items()}
+    brackets = {i: f"{t}[name]{i} [a b] [] [name]" for i, t in texts.items()}
+    assert got(spark, "x33b_placeholders_whole", sf) == {i: "|".join(re.findall(r"\[[^\]]+\]", t)) for i, t in brackets.items()}
+    filled = {i: t.replace("[name]", "Ann").replace("[a b]", "c") for i, t in brackets.items()}
+    assert got(spark, "x20b_filled_placeholders_whole", sf) == filled
+
+    def block(i, t):
+        t = t if i % 2 else f"Sure:\n```python\n{t}\n```\nand ```x```"
+        m = re.search(r"(?s)```(?:python)?[ \t\n\x0b\f\r]*\n(.*?)```", t)
+        return (m[1] if m else t).strip(" \t\n\x0b\f\r")
+
+    assert got(spark, "x11b_code_block_whole", sf) == {i: block(i, t) for i, t in texts.items()}
