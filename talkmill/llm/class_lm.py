@@ -2,9 +2,11 @@
 
 Training texts are those outside the held-out fold. Units are the ``FREQUENT`` most frequent words, the
 end of a text, and ``BUCKETS`` buckets that share out all other words by their last bytes; so every word,
-seen or not, has a unit and by it a class. Exchange clustering moves units between ``CLASSES`` classes as
+seen or not, has a unit and by it a first class. Exchange clustering moves units between ``CLASSES`` classes as
 long as the likelihood of the class bigrams rises; it works on the unit bigrams of all training texts,
-which Spark counts. A text's probability is the product over its tokens of
+which Spark counts. Then every word but the frequent ones gets the class in which the words beside it in all
+training texts are likeliest, by counts of its own; a bucket's class is left to words never seen. The class
+bigrams are counted again over these classes. A text's probability is the product over its tokens of
 
     P(class | class before) * P(word | class)
 
@@ -13,7 +15,7 @@ more place per class for its unseen words, so each distribution sums to one.
 
 Word counts are kept for the whole vocabulary. Tasks hold those of the ``HOT`` most frequent words (of
 bounded length), which is a fixed bound; the counts of all rarer words are joined to the texts by a
-shuffle, after each text has summed up its own. So no word is left out at any size.
+shuffle, with their classes. So no word is left out at any size.
 
 Defined cases: null and empty texts consist of their end alone; without training texts all counts are 0;
 repeated rows are scored each (and count each in training); a null doc_id hashes as the empty text; an
@@ -34,6 +36,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import blank_words, fold, shared_dir, stored, text_bytes
 
@@ -77,25 +80,60 @@ class Units(dict):
         return self.own + self.buckets
 
 
-def _count_bigrams(units: Broadcast):
+def _encode(hot: Broadcast):
+    """Texts as indexes of hot words, -1 for others, which stand beside them in order; the end of the text is index 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = hot.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                ids, tails = [], []
+                for t in part["text"]:
+                    words = blank_words(t.as_py())
+                    at = [index.get(w, -1) for w in words]
+                    tails.append([w for w, i in zip(words, at) if i < 0])
+                    ids.append(np.array([*at, 0], np.int32))
+                starts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays(
+                    [part["uid"], part["doc_id"], part["held_out"], ids, pa.array(tails, pa.list_(pa.binary()))],
+                    names=["uid", "doc_id", "held_out", "ids", "tail"],
+                )
+
+    return run
+
+
+_CODED = "uid long, doc_id long, held_out boolean, ids array<int>, tail array<binary>"
+
+
+def _sequence(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The indexes of a batch one after another, where each text's begin, and the words at -1."""
+    sizes = np.diff(batch["ids"].offsets.to_numpy())
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return batch["ids"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), starts, batch["tail"].flatten().to_pylist()
+
+
+def _labelled(flat: np.ndarray, tail: list[bytes], of_hot: np.ndarray, of_word) -> np.ndarray:
+    out = of_hot[flat]
+    if tail:
+        out[flat < 0] = [of_word(w) for w in tail]
+    return out
+
+
+def _count_pairs(of_hot: Broadcast, size: int, units: Broadcast | None):
+    """Pairs of units; of classes where there are no units, and then only of hot neighbours."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = units.value
-        n, end = own.size, own[END]
-        total = np.zeros(n * n, np.int64)
+        total = np.zeros(size * size, np.int64)
+        hot = of_hot.value
         for batch in batches:
-            run, size = [], 0
-            for t in batch["text"]:
-                words = blank_words(t.as_py())
-                ids = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
-                run += [ids, np.array([end])]
-                size += len(ids)
-                if size > 1_000_000:
-                    seq = np.concatenate([[end], *run])
-                    total += np.bincount(seq[:-1] * n + seq[1:], minlength=n * n)
-                    run, size = [], 0
-            if run:
-                seq = np.concatenate([[end], *run])
-                total += np.bincount(seq[:-1] * n + seq[1:], minlength=n * n)
+            flat, _, tail = _sequence(batch)
+            seq = _labelled(flat, tail, hot, units.value.__getitem__ if units else lambda w: -1)
+            seq = np.concatenate([hot[:1], seq])
+            a, b = seq[:-1], seq[1:]
+            both = (a >= 0) & (b >= 0)
+            total += np.bincount(a[both] * size + b[both], minlength=size * size)
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "c"])
@@ -103,6 +141,68 @@ def _count_bigrams(units: Broadcast):
     return run
 
 
+def _square(pairs: DataFrame, size: int) -> np.ndarray:
+    cells = pairs.groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # at most the square of the size
+    n = np.zeros(size**2)
+    n[cells["pair"].to_numpy()] = cells["c"].to_numpy()
+    return n.reshape(size, size)
+
+
+def _neighbours(shared: Broadcast, k: int):
+    """Of each word but the frequent: how often each class stands before it (cells under k) and after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own, unit_of, of = shared.value
+        first, keys, size, local = len(words), [], 0, {}
+
+        def out() -> pa.RecordBatch:
+            key, c = np.unique(np.concatenate(keys), return_counts=True)
+            word = key // (2 * k)
+            at = np.flatnonzero(np.diff(word, prepend=-1))
+            rare = list(local)
+            names = [words[w] if w < first else rare[w - first] for w in word[at]]
+            ends = pa.array(np.concatenate([at, [len(key)]]).astype(np.int32))
+            cells = pa.ListArray.from_arrays(ends, pa.array((key % (2 * k)).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), cells, pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int64)))], names=["word", "cell", "c"])
+
+        for batch in batches:
+            flat, _, tail = _sequence(batch)
+            units = _labelled(flat, tail, unit_of, own.__getitem__)
+            cls = of[units]
+            word = flat.copy()
+            if tail:
+                word[flat < 0] = [first + local.setdefault(w, len(local)) for w in tail]
+            at = np.flatnonzero(units >= own.own)
+            before = np.concatenate([of[unit_of[:1]], cls[:-1]])
+            keys += [word[at] * (2 * k) + before[at], word[at] * (2 * k) + k + cls[at + 1]]  # a text's end follows every word
+            size += 2 * len(at)
+            if size > 3_000_000:
+                yield out()
+                keys, size, local = [], 0, {}
+        if size:
+            yield out()
+
+    return run
+
+
+def _choose(pairs: np.ndarray):
+    """The class in which each word's neighbours are likeliest; class 0 is the end's alone."""
+    k = len(pairs)
+    step, sums = transitions(pairs), pairs.sum(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, c = batch["parts"].flatten().flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch["parts"].offsets.to_numpy()))
+            row = np.repeat(row, np.diff(cell.offsets.to_numpy()))
+            n = np.bincount(row * (2 * k) + cell.flatten().to_numpy(), c.flatten().to_numpy(), batch.num_rows * 2 * k).reshape(-1, 2 * k)
+            gain = n[:, :k] @ step + n[:, k:] @ step.T - n[:, :k].sum(1)[:, None] * np.log10(np.maximum(sums, 1))[None, :]
+            gain[:, (sums == 0) | (np.arange(k) == 0)] = -np.inf
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(np.argmax(np.round(gain, 6), 1).astype(np.int64))], names=["word", "class"])
+
+    return run
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -190,87 +290,45 @@ def transitions(classes: np.ndarray) -> np.ndarray:
     return np.log10((classes + k * share[None, :]) / (classes.sum(1, keepdims=True) + k))
 
 
-def train(docs: DataFrame, folder: str, frequent: int = FREQUENT, classes: int = CLASSES, hot: int = HOT) -> tuple[Model, DataFrame]:
-    """The model and the written counts (word, c) of the whole vocabulary, over the texts given."""
-    spark = docs.sparkSession
-    texts = docs.select(text_bytes().alias("text"))
-    counts = stored(spark, texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), folder, "counts")
-    # Arrow tables, not rows: the bounded tables stay small in the driver too
-    top = counts.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(hot).toArrow()
-    tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
-    del top
-    units = Units([END, *(w for w in list(known)[:frequent] if w != END)])
-    shared = spark.sparkContext.broadcast(units)
-    pairs = texts.mapInArrow(_count_bigrams(shared), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-    cells = pairs.toArrow()  # at most the square of the units
-    n = np.zeros(units.size**2)
-    n[cells["pair"].to_numpy()] = cells["c"].to_numpy()
-    del cells
-    n = n.reshape(units.size, units.size)
-    of = exchange(n, units[END], classes)
-    k = int(of.max()) + 1
-    onehot = np.zeros((units.size, k))
-    onehot[np.arange(units.size), of] = 1
+def _tails(shared: Broadcast):
+    """One row for each word that is not hot, with the classes beside it (-1 where that isn't hot either)."""
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, own, of = shared.value
         for batch in batches:
-            ids = [own[w] for w in batch["word"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(of[ids], pa.int64()) if ids else pa.array([], pa.int64()), batch["c"]], names=["class", "c"])
-
-    sums, places = np.zeros(k), np.ones(k)
-    for r in counts.mapInArrow(classed, "class long, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
-        sums[r["class"]] = r["c"]
-        places[r["class"]] += r["n"]
-    return Model(units, of, transitions(onehot.T @ n @ onehot), sums, places, tokens, types, known), counts
-
-
-_PARTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, class: int, n: long>>"
-
-
-class _Scorer:
-    """Looks words up by an index into arrays; words that are not hot get their class only."""
-
-    def __init__(self, m: Model):
-        self.m, self.index = m, {w: i for i, w in enumerate(m.hot)}
-        count = np.array([m.hot[w] for w in self.index], dtype=np.float64)
-        self.cls = np.array([m.of[m.units[w]] for w in self.index], dtype=np.int64)
-        self.emit, self.base = m.emission(count, self.cls), m.base(count)
-        self.end = int(m.of[m.units[END]])
-        self.rare: dict[bytes, int] = {}
+            flat, starts, tail = _sequence(batch)
+            if not tail:
+                continue
+            at = np.flatnonzero(flat < 0)
+            row = np.searchsorted(starts, at, side="right") - 1
+            seq = np.where(flat < 0, -1, cls[flat])
+            before = np.concatenate([cls[:1], seq[:-1]])  # a text begins after an end
+            spare = of[[own[w] for w in tail]]
+            yield pa.RecordBatch.from_arrays(
+                [batch["uid"].take(pa.array(row)), batch["held_out"].take(pa.array(row)), pa.array(at - starts[row]), pa.array(tail, pa.binary()), pa.array(before[at]), pa.array(seq[at + 1]), pa.array(spare)],
+                names=["uid", "held_out", "pos", "word", "before", "after", "spare"],
+            )
 
-    def score(self, words: list[bytes]) -> tuple:
-        m, index = self.m, self.index
-        tokens = [*words, END]
-        at = np.fromiter((index.get(w, -1) for w in tokens), np.int64, len(tokens))
-        known = at >= 0
-        cls = np.empty(len(tokens), np.int64)
-        cls[known] = self.cls[at[known]]
-        tail: Counter = Counter()
-        for i in np.flatnonzero(~known):
-            w = tokens[i]
-            tail[w] += 1
-            cls[i] = m.of[m.units[w]]
-        score = m.step[np.concatenate([[self.end], cls[:-1]]), cls].sum() + self.emit[at[known]].sum()
-        rows = [{"word": w, "class": int(m.of[m.units[w]]), "n": n} for w, n in tail.items()]
-        return len(tokens), int(known.sum()), float(self.base[at[known]].sum()), float(score), rows
+    return run
 
 
-def _score(model: Broadcast):
+def _score(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model.value)
-        tail = pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int64())]))
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail]
+        cls, emit, base, seen, step = shared.value
         for batch in batches:
-            texts = batch["text"]
-            for a in range(0, batch.num_rows, 500):
-                rows = [scorer.score(blank_words(t.as_py())) for t in texts[a : a + 500]]
-                own = [batch["doc_id"][a : a + 500], batch["held_out"][a : a + 500]]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, *(pa.array(c, t) for c, t in zip(zip(*rows), types))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
-                )
+            if not batch.num_rows:
+                continue
+            flat, starts, _ = _sequence(batch)
+            hot = flat >= 0
+            seq = np.concatenate([cls[:1], np.where(hot, cls[flat], -1)])
+            both = (seq[:-1] >= 0) & (seq[1:] >= 0)
+            total = lambda x: np.add.reduceat(x, starts[:-1])
+            score = total(np.where(hot, emit[flat], 0.0) + np.where(both, step[seq[:-1], seq[1:]], 0.0))
+            known = total((hot & seen[flat]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch["uid"], batch["doc_id"], batch["held_out"], pa.array(np.diff(starts)), pa.array(known), pa.array(total(np.where(hot, base[flat], 0.0))), pa.array(score)],
+                names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+            )
 
     return run
 
@@ -278,31 +336,75 @@ def _score(model: Broadcast):
 def scored(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, classes: int = CLASSES, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     folder = f"{shared_dir(spark)}/class-lm-{uuid.uuid4().hex}"
-    model, counts = train(docs.filter(~held_out), folder, frequent, classes, hot)
-    shared = spark.sparkContext.broadcast(model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_bytes().alias("text"))
-    parts = stored(spark, texts.mapInArrow(_score(shared), _PARTS), folder, "parts").withColumn("uid", F.monotonically_increasing_id())
-    rare = parts.select("uid", F.explode("tail").alias("t")).select("uid", F.col("t.word").alias("word"), F.col("t.class").alias("class"), F.col("t.n").alias("n"))
-    size = F.array(*(F.lit(float(s + ADD * p)) for s, p in zip(model.sums, model.places)))
-    count = F.coalesce(F.col("c"), F.lit(0))
-    found = (
-        rare.join(counts, "word", "left")
-        .withColumn("e", F.log10((count + ADD) / F.get(size, F.col("class"))))
-        .withColumn("b", F.log10((count + 0.5) / F.lit(model.tokens + 0.5 * (model.types + 1))))
-        .groupBy("uid")
-        .agg(F.sum(F.col("n") * F.col("e")).alias("e"), F.sum(F.col("n") * F.col("b")).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
-    )
-    total = parts.drop("tail").join(found, "uid", "left")
+    texts = docs.filter(~held_out).select(text_bytes().alias("text"))
+    counts = stored(spark, texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), folder, "counts")
+    # Arrow tables, not rows: the bounded tables stay small in the driver too
+    best = lambda t: t.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(hot).toArrow()
+    top = best(counts)
+    tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    known = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
+    known = {END: known.get(END, 0)} | known
+    words = list(known)
+    coded = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_bytes().alias("text"))
+    coded = stored(spark, coded.mapInArrow(_encode(share({w: i for i, w in enumerate(words)})), _CODED), folder, "coded")
+    train = coded.filter("not held_out")
+
+    units = Units(words[: frequent + 1])
+    unit_of = np.array([units[w] for w in words], np.int64)
+    n = _square(train.mapInArrow(_count_pairs(share(unit_of), units.size, share(units)), "pair long, c long"), units.size)
+    of = exchange(n, units[END], classes)
+    k = int(of.max()) + 1
+    onehot = np.eye(k)[of]
+
+    # every other word by its own neighbours
+    cells = train.mapInArrow(_neighbours(share((words, units, unit_of, of)), k), "word binary, cell array<int>, c array<long>")
+    cells = cells.groupBy("word").agg(F.collect_list(F.struct("cell", "c")).alias("parts"))
+    chosen = cells.mapInArrow(_choose(onehot.T @ n @ onehot), "word binary, class long")
+    own = spark.createDataFrame([(bytearray(w), int(of[u])) for w, u in units.items()], "word binary, class long")
+    vocabulary = stored(spark, counts.join(chosen.unionAll(own), "word", "left"), folder, "vocabulary")
+    at = best(vocabulary)
+    cls = dict(zip(at["word"].to_pylist(), at["class"].to_pylist())) | {END: int(of[0])}
+    cls = np.array([cls[w] for w in words], np.int64)
+    sums, places = np.zeros(k), np.ones(k)
+    for r in vocabulary.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        sums[r["class"]] = r["c"]
+        places[r["class"]] += r["n"]
+
+    # class pairs of all words: those beside a word that is not hot by a join
+    rare = coded.mapInArrow(_tails(share((cls, units, of))), "uid long, held_out boolean, pos long, word binary, before long, after long, spare long")
+    rare = rare.join(vocabulary, "word", "left").withColumn("class", F.coalesce("class", "spare"))
+    last = F.lag("class").over(Window.partitionBy("uid").orderBy("pos"))
+    left = F.when(F.col("before") < 0, last).otherwise(F.col("before")) * k + F.col("class")
+    right = F.when(F.col("after") >= 0, F.col("class") * k + F.col("after"))
+    rare = stored(spark, rare.select("uid", "held_out", "class", F.coalesce("c", F.lit(0)).alias("c"), left.alias("left"), right.alias("right")), folder, "rare")
+    pairs = rare.filter("not held_out").select(F.explode(F.array("left", "right")).alias("pair"), F.lit(1).cast("long").alias("c")).filter("pair is not null")
+    pairs = _square(train.mapInArrow(_count_pairs(share(cls), k, None), "pair long, c long").unionAll(pairs), k)
+
+    model = Model(units, of, transitions(pairs), sums, places, tokens, types, known)
+    count = np.array(list(known.values()), np.float64)
+    step = F.from_json(F.lit(str(model.step.ravel().tolist())), "array<double>")
+    size = F.array(*(F.lit(float(s + ADD * p)) for s, p in zip(sums, places)))
+    parts = coded.mapInArrow(_score(share((cls, model.emission(count, cls), model.base(count), count > 0, model.step))), _PARTS)
+    found = rare.groupBy("uid").agg(
+        F.sum(F.log10((F.col("c") + ADD) / F.get(size, F.col("class").cast("int"))) + F.get(step, F.col("left").cast("int")) + F.coalesce(F.get(step, F.col("right").cast("int")), F.lit(0.0))).alias("e"),
+        F.sum(F.log10((F.col("c") + 0.5) / F.lit(tokens + 0.5 * (types + 1)))).alias("b"),
+        F.count_if(F.col("c") > 0).alias("k"),
+    )
+    total = parts.join(found, "uid", "left")
     score = F.col("score") + F.coalesce("e", F.lit(0.0))
     return total.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), score.alias("score"),
         F.pow(F.lit(10.0), F.least(-score / F.col("n_tokens"), F.lit(300.0))).alias("perplexity"),
     )
 
 
+_PARTS = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
 def digest(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     return scored(docs, fold("doc_id", folds) == held).drop("perplexity")
 

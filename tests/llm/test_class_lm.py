@@ -52,6 +52,20 @@ def test_rare_words_by_the_join_and_odd_rows(spark):
     assert {r.train_tokens for r in m.digest(only_held).collect()} == {0}
 
 
+def test_words_of_one_ending_get_classes_of_their_own(spark):
+    rng = random.Random(5)
+    # words on -ing stand either where "dog" does or where "run" does, never both; all share one bucket
+    noun, verb = [f"n{i}ing" for i in range(60)], [f"v{i}ing" for i in range(60)]
+    rows = []
+    for i in range(600):
+        rows.append((i, " ".join(w for _ in range(12) for w in ("the", rng.choice(["dog", rng.choice(noun)]), "will", rng.choice(["run", rng.choice(verb)]), "and"))))
+    rows += [(9001, "the n1ing will v1ing and"), (9002, "the v1ing will n1ing and")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (m.HOT, 10):
+        got = {r.doc_id: r.score for r in m.scored(docs, m.F.col("doc_id") > 9000, frequent=6, classes=8, hot=hot).filter("doc_id > 9000").collect()}
+        assert got[9001] > got[9002] + 2
+
+
 def test_distributions_sum_to_one():
     rng = np.random.default_rng(1)
     assert np.allclose((10 ** m.transitions(rng.integers(0, 9, size=(7, 7)).astype(float))).sum(1), 1)
