@@ -7,7 +7,9 @@ attempt in the name, and the written manifest lists the files of the attempts th
 executors and repeated tasks leave no doubles.
 
 Payloads that are equal are found by their SHA-1 and length: the page of the largest page_id becomes the
-response and the others revisit it. Only digests are grouped, with partial sums on the map side.
+response and the others revisit it. Only digests are grouped, with partial sums on the map side, and roles
+are settled without payloads. These move once, dealt by page and digest, so that the copies of one payload do
+not meet in a task; what revisits another page gives up its payload before it reaches Python.
 
 Defined cases: a null html is the empty payload; a null url gives no target; a null page_id is less than
 any other and revisits them, and a group with null ids only is all responses; rows that repeat the
@@ -31,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import qualified, text_bytes
 
 #: Magic number of the skippable frame that holds the dictionary, as the WARC-Zstandard specification has it.
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 * 1024
-SAMPLE_BYTES = 2 * 1024 * 1024
+SAMPLE_BYTES = 1024 * 1024
 ARCHIVE_BYTES = 256 * 1024 * 1024
 LEVEL = 3
 #: Records carry a fixed date, so that the same pages give the same bytes.
@@ -58,7 +60,8 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, top: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, top: int | None, revisit: bool) -> bytes:
+    """A WARC record; a revisit's payload isn't looked at."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -66,7 +69,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, to
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
     ]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
@@ -74,7 +77,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, to
         head.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe=_VISIBLE)}")
     if revisit:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(top)}", f"X-Refers-To-Page: {top}"]
-    body = _HTTP + f"Content-Length: {len(payload)}\r\n\r\n".encode()
+    body = _HTTP + f"Content-Length: {size}\r\n\r\n".encode()
     if not revisit:
         body += payload
     return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
@@ -94,8 +97,9 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
 class Archive:
     """A file in the making: records are held back until the dictionary's sample is full."""
 
-    def __init__(self, fs: pafs.FileSystem, path: str):
+    def __init__(self, fs: pafs.FileSystem, path: str, uri: str | None = None):
         self.fs, self.path, self.part = fs, path, f"{path}.part"
+        self.uri = uri or path
         self.out = fs.open_output_stream(self.part, compression=None)
         self.held: list[bytes] = []
         self.held_bytes = self.size = self.records = self.dictionary_bytes = 0
@@ -130,16 +134,17 @@ class Archive:
             self._begin()
         self.out.close()
         self.fs.move(self.part, self.path)
-        return self.path, self.records, self.size, self.dictionary_bytes
+        return self.uri, self.records, self.size, self.dictionary_bytes
 
 
-def _files(folder: str) -> tuple[pafs.FileSystem, str]:
-    """The store and the path in it, of any store that pyarrow knows."""
-    if "://" not in folder and not folder.startswith("file:"):
-        return pafs.LocalFileSystem(), folder
-    if folder.startswith("file:"):
-        return pafs.LocalFileSystem(), urllib.parse.unquote(urllib.parse.urlparse(folder).path)
-    return pafs.FileSystem.from_uri(folder)
+def _files(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store and the path in it, of a URI whose scheme pyarrow knows (S3's other names count as s3)."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), urllib.parse.unquote(urllib.parse.urlparse(uri).path)
+    if not rest.startswith("//"):
+        raise ValueError(f"{uri} has no scheme: executors can't tell which store is meant")
+    return pafs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def _write(folder: str):
@@ -149,11 +154,13 @@ def _write(folder: str):
         task = TaskContext.get()
         made, archive, raw = [], None, 0
         for batch in batches:
-            for r in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "top", "revisit"))):
+            columns = [batch[c] for c in ("page_id", "url", "payload", "sha", "size", "top", "revisit")]
+            for i in range(batch.num_rows):  # one payload at a time is a Python object, never a batch of them
+                page_id, url, payload, sha, size, top, revisit = (c[i].as_py() for c in columns)
                 if archive is None:
                     name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(made):03d}.warc.zst"
-                    archive, raw = Archive(fs, f"{at}/{name}"), 0
-                rec = record(*r)
+                    archive, raw = Archive(fs, f"{at}/{name}", f"{folder}/{name}"), 0
+                rec = record(page_id, url, payload, size, base64.b32encode(bytes.fromhex(sha)).decode(), top, revisit)
                 archive.add(rec)
                 raw += len(rec)
                 if archive.size >= ARCHIVE_BYTES or raw >= 8 * ARCHIVE_BYTES:
@@ -169,28 +176,26 @@ def _write(folder: str):
 
 
 def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_digest, top and revisit of every page row."""
+    """page_id, url, payload (null of revisits), sha, size, top and revisit of every page row."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_bytes("html").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    # only payloads that recur get a partner, so the other side of the join stays small
+    # roles of the pages of payloads that recur: digests only
     tops = rows.groupBy("sha", "size").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
     tops = tops.filter((F.col("n") > 1) & (F.col("size") >= min_bytes) & F.col("top").isNotNull()).drop("n")
-    revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    return rows.join(tops, ["sha", "size"], "left").select("page_id", "url", "payload", "sha", "top", revisit.alias("revisit"))
+    own = F.col("page_id").eqNullSafe(F.col("top"))
+    roles = rows.select("sha", "size", "page_id").join(tops, ["sha", "size"]).filter(~own).distinct()
+    roles = roles.withColumnsRenamed({"sha": "r_sha", "size": "r_size", "page_id": "r_page"})
+    # payloads are dealt by page and digest, not by digest alone
+    same = (F.col("sha") == F.col("r_sha")) & (F.col("size") == F.col("r_size")) & F.col("page_id").eqNullSafe(F.col("r_page"))
+    revisit = F.col("top").isNotNull()
+    return rows.join(roles, same, "left").select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "sha", "size", "top", revisit.alias("revisit"))
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes the archives into the folder; returns the manifest, itself written there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
-            digests = [base64.b32encode(bytes.fromhex(s)).decode() for s in batch["sha"].to_pylist()]
-            return batch.append_column("payload_digest", pa.array(digests, pa.string()))
-
-        yield from _write(f"{folder}/archives")(map(coded, batches))
-
+    folder = qualified(pages.sparkSession, folder)
     manifest = f"{folder}/manifest"
-    plan(pages, min_bytes).mapInArrow(run, MANIFEST).write.parquet(manifest)
+    plan(pages, min_bytes).mapInArrow(_write(f"{folder}/archives"), MANIFEST).write.parquet(manifest)
     return pages.sparkSession.read.schema(MANIFEST).parquet(manifest)
 
 
