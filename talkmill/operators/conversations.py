@@ -51,8 +51,8 @@ def list_chats(chats: DataFrame, session: str = "session_id") -> DataFrame:
 def search(messages: DataFrame, query: str, context: int = 30) -> DataFrame:
     """One row per place of the query, also overlapping ones, with its excerpt."""
     hits = messages.filter(F.contains(F.lower("content"), F.lit(query.lower()))) if query else messages.limit(0)
-    at = hits.select("chat_id", "message_id", "content", F.explode(tx.occurrences(F.col("content"), query)).alias("at"))
-    return at.select("chat_id", "message_id", "at", tx.excerpt(F.col("content"), F.col("at"), len(query), context).alias("excerpt"))
+    found = hits.select("chat_id", "message_id", F.explode(tx.excerpts(F.col("content"), query, context)).alias("h"))
+    return found.select("chat_id", "message_id", "h.at", "h.excerpt")
 
 
 def search_grouped(hits: DataFrame) -> DataFrame:
@@ -70,6 +70,12 @@ def visible_chats(chats: DataFrame, hits: DataFrame, query: str) -> DataFrame:
     return chats.join(found, "chat_id", "left").filter(F.contains(F.lower("name"), F.lit(q)) | F.col("_hit")).drop("_hit")
 
 
+def last_messages(messages: DataFrame, n: int) -> DataFrame:
+    """The last n messages of each chat: Spark keeps n a chat on the map side already."""
+    w = Window.partitionBy("chat_id").orderBy(F.desc("message_id"))
+    return messages.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= n).drop("_back")
+
+
 def transcripts(messages: DataFrame) -> DataFrame:
     """Each chat as ``role: content`` lines in order, with its number of messages."""
     lines = F.array_sort(F.collect_list(F.struct("message_id", "role", "content")))

@@ -111,26 +111,24 @@ def transcripts(spark, sf):
     return ops.transcripts(src.messages(spark, sf))
 
 
-@query("a12_result_context", f"""WITH {_PAIRS}, t AS (SELECT chat_id, response_idx, query, left(content, 80) AS output,
-    CASE WHEN response_idx % 3 = 2 THEN '' ELSE left(content, 10) END AS a, CASE WHEN response_idx % 3 = 2 THEN '0' ELSE 'ok' END AS b FROM r)
-SELECT chat_id AS plan_id, 'Results:' || string_agg(chr(10) || 'Task: ' || left(query, 40) || chr(10) || 'Output: ' || output || chr(10)
+@query("a12_result_context", f"""WITH {_PAIRS}, t AS (SELECT chat_id, response_idx, query, content AS output,
+    CASE WHEN response_idx % 3 = 2 THEN '' ELSE content END AS a, CASE WHEN response_idx % 3 = 2 THEN '0' ELSE 'ok' END AS b FROM r)
+SELECT chat_id AS plan_id, 'Results:' || string_agg(chr(10) || 'Task: ' || query || chr(10) || 'Output: ' || output || chr(10)
     || CASE WHEN a NOT IN ('', '0') OR b NOT IN ('', '0') THEN 'Tool Results:' || chr(10) || '- find: ' || a || chr(10) || '- save: ' || b || chr(10) ELSE '' END, '' ORDER BY response_idx) AS context FROM t GROUP BY ALL""")
 def context(spark, sf):
     last = F.col("response_idx") % 3 == 2
     tool = lambda n, r: F.struct(F.lit(n).alias("name"), r.alias("result"))
     t = src.responses(spark, sf).select(
-        F.col("chat_id").alias("plan_id"), F.col("response_idx").alias("pos"), F.substring("query", 1, 40).alias("task"), F.substring("content", 1, 80).alias("output"),
-        F.array(tool("find", F.when(last, F.lit("")).otherwise(F.substring("content", 1, 10))), tool("save", F.when(last, F.lit("0")).otherwise(F.lit("ok")))).alias("tools"),
+        F.col("chat_id").alias("plan_id"), F.col("response_idx").alias("pos"), F.col("query").alias("task"), F.col("content").alias("output"),
+        F.array(tool("find", F.when(last, F.lit("")).otherwise(F.col("content"))), tool("save", F.when(last, F.lit("0")).otherwise(F.lit("ok")))).alias("tools"),
     )
     return ops.result_context(t, "Results:")
 
 
 @query("l8_last_messages", f"WITH {_MESSAGES} SELECT chat_id, string_agg(message_id::VARCHAR, ',' ORDER BY message_id) AS ids FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY message_id DESC) <= 3) GROUP BY ALL")
 def last_messages(spark, sf):
-    ids = F.array_sort(F.collect_list("message_id"))
-    t = src.messages(spark, sf).groupBy("chat_id").agg(ids.alias("ids"))
-    last = F.slice("ids", F.greatest(F.size("ids") - 2, F.lit(1)), F.lit(3))
-    return t.select("chat_id", F.array_join(last.cast("array<string>"), ",").alias("ids"))
+    last = ops.last_messages(src.messages(spark, sf), 3)
+    return last.groupBy("chat_id").agg(F.array_join(F.array_sort(F.collect_list("message_id")).cast("array<string>"), ",").alias("ids"))
 
 
 @query("x4_truncated", "SELECT doc_id, CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || ' [...]' ELSE text END AS short FROM documents")

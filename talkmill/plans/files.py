@@ -53,10 +53,10 @@ def file_name(spark, sf):
 _NAME = "CASE doc_id % 6 WHEN 0 THEN 'a' || doc_id || '.PDF' WHEN 1 THEN 'b.tar.jpeg' WHEN 2 THEN 'notes.md' WHEN 3 THEN 'run.py' WHEN 4 THEN 'plain' END"
 
 
-@query("x10_renamed", f"SELECT doc_id, 'new' || regexp_extract({_NAME}, '.(\\.[^.]+)$', 1) AS file_name FROM documents WHERE doc_id % 6 < 5")
+@query("x10_renamed", f"SELECT doc_id, 'new' || regexp_extract({_NAME}, '.(\\.[^.]+)$', 1) AS file_name FROM documents")
 def renamed(spark, sf):
-    t = load(spark, sf, "documents").filter("doc_id % 6 < 5")
-    return t.select("doc_id", tx.renamed(F.lit("new"), F.expr(_NAME)).alias("file_name"))
+    """Files without a name get none."""
+    return load(spark, sf, "documents").select("doc_id", tx.renamed(F.lit("new"), F.expr(_NAME)).alias("file_name"))
 
 
 @query("f6_file_kind", f"SELECT doc_id, regexp_matches(coalesce({_NAME}, ''), '(?i)\\.pdf$') AS pdf, regexp_matches(coalesce({_NAME}, ''), '(?i)\\.(png|jpe?g|gif|webp)$') AS image FROM documents")
@@ -68,62 +68,36 @@ def file_kind(spark, sf):
 _BODY = "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN text || chr(11) WHEN 2 THEN chr(8) || text ELSE text END"
 
 
-@query("f8_text_sniff", f"""SELECT doc_id, octet_length(encode(b)) = 0 OR NOT regexp_matches(b, '[\\x00-\\x08\\x0B\\x0E-\\x1F]') AS is_text
-FROM (SELECT doc_id, {_BODY} AS b FROM documents) WHERE octet_length(encode(b)) <= 4096""")
+@query("f8_text_sniff", f"""SELECT doc_id, octet_length(h) = 0 OR (try(decode(h)) IS NOT NULL AND NOT regexp_matches(coalesce(try(decode(h)), ''), '[\\x00-\\x08\\x0B\\x0E-\\x1F]')) AS is_text
+FROM (SELECT doc_id, encode({_BODY})[1:4096] AS h FROM documents)""")
 def text_sniff(spark, sf):
-    """Over bodies up to the sample's size: SQL can't cut a text at a byte."""
+    """The sample is the feature: the first 4,096 bytes of every body, and a character that they cut in two counts."""
     body = F.expr(_BODY.replace("chr(11)", "char(11)").replace("chr(8)", "char(8)"))
-    t = load(spark, sf, "documents").select("doc_id", body.cast("binary").alias("b")).filter(F.octet_length("b") <= 4096)
-    return t.select("doc_id", tx.looks_textual(F.col("b")).alias("is_text"))
+    return load(spark, sf, "documents").select("doc_id", tx.looks_textual(body.cast("binary")).alias("is_text"))
 
 
-@query("f8b_text_sniff_whole")
-def text_sniff_whole(spark, sf):
-    """Over all bodies; without SQL, which can't cut a text at a byte."""
-    body = F.expr(_BODY.replace("chr(11)", "char(11)").replace("chr(8)", "char(8)"))
-    return load(spark, sf, "documents").select("doc_id", tx.looks_textual(body.cast("binary")).alias("is_text"))
+_TICKS = "text || repeat('`', (doc_id % 6)::INT) || chr(13) || chr(10) || 'x``y'"
+_MARK = "repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all({}, '`+'), lambda r: length(r))), 0) + 1)::INT)"
 
 
-_TICKS = "substr(text, 1, 200) || repeat('`', (doc_id % 6)::INT) || chr(13) || chr(10) || 'x``y'"
+def _ticks():
+    return F.expr(_TICKS.replace("chr(", "char("))
 
 
-@query("x16_fence", f"""SELECT doc_id, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all({_TICKS}, '`+'), lambda r: length(r))), 0) + 1)::INT) AS fence FROM documents""")
+@query("x16_fence", f"SELECT doc_id, {_MARK.format(_TICKS)} AS fence FROM documents")
 def fence(spark, sf):
-    t = F.expr(_TICKS.replace("chr(", "char("))
-    return load(spark, sf, "documents").select("doc_id", tx.fence(t).alias("fence"))
+    return load(spark, sf, "documents").select("doc_id", tx.fence(_ticks()).alias("fence"))
 
 
 @query("x17_unix_newlines", f"SELECT doc_id, replace({_TICKS}, chr(13) || chr(10), chr(10)) AS text FROM documents")
 def newlines(spark, sf):
-    t = F.expr(_TICKS.replace("chr(", "char("))
-    return load(spark, sf, "documents").select("doc_id", tx.unix_newlines(t).alias("text"))
+    return load(spark, sf, "documents").select("doc_id", tx.unix_newlines(_ticks()).alias("text"))
 
 
 @query("s14_text_ingestion", f"""SELECT doc_id, CASE WHEN doc_id % 6 = 3 THEN f || 'python' || chr(10) || t || chr(10) || f ELSE t END AS content FROM
-(SELECT doc_id, t, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda r: length(r))), 0) + 1)::INT) AS f FROM
-(SELECT doc_id, replace({_TICKS}, chr(13) || chr(10), chr(10)) AS t FROM documents))""")
+(SELECT doc_id, t, {_MARK.format("t")} AS f FROM (SELECT doc_id, replace({_TICKS}, chr(13) || chr(10), chr(10)) AS t FROM documents))""")
 def ingestion(spark, sf):
-    t = F.expr(_TICKS.replace("chr(", "char("))
-    return load(spark, sf, "documents").select("doc_id", tx.ingested(F.coalesce(F.expr(_NAME), F.lit("")), t).alias("content"))
-
-
-_WHOLE_TICKS = _TICKS.replace("substr(text, 1, 200)", "text")
-
-
-@query("x16b_fence_whole", f"""SELECT doc_id, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all({_WHOLE_TICKS}, '`+'), lambda r: length(r))), 0) + 1)::INT) AS fence FROM documents""")
-def fence_whole(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", tx.fence(F.expr(_WHOLE_TICKS.replace("chr(", "char("))).alias("fence"))
-
-
-@query("x17b_unix_newlines_whole", f"SELECT doc_id, replace({_WHOLE_TICKS}, chr(13) || chr(10), chr(10)) AS text FROM documents")
-def newlines_whole(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", tx.unix_newlines(F.expr(_WHOLE_TICKS.replace("chr(", "char("))).alias("text"))
-
-
-@query("s14b_text_ingestion_whole")
-def ingestion_whole(spark, sf):
-    t = F.expr(_WHOLE_TICKS.replace("chr(", "char("))
-    return load(spark, sf, "documents").select("doc_id", tx.ingested(F.coalesce(F.expr(_NAME), F.lit("")), t).alias("content"))
+    return load(spark, sf, "documents").select("doc_id", tx.ingested(F.coalesce(F.expr(_NAME), F.lit("")), _ticks()).alias("content"))
 
 
 @query("x30_preview", """SELECT doc_id, CASE WHEN length(p) > 240 THEN p[:237] || '...' ELSE p END AS preview FROM (SELECT doc_id,
@@ -132,7 +106,7 @@ def preview(spark, sf):
     return load(spark, sf, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"))
 
 
-_BRACKETS = "substr(text, 1, 40) || '[name]' || doc_id || ' [a b] [] [name]'"
+_BRACKETS = "text || '[name]' || doc_id || ' [a b] [] [name]'"
 
 
 @query("x33_placeholders", f"SELECT doc_id, array_to_string(regexp_extract_all({_BRACKETS}, '\\[[^\\]]+\\]'), '|') AS found FROM documents")
@@ -140,25 +114,12 @@ def placeholders(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.array_join(tx.placeholders(F.expr(_BRACKETS)), "|").alias("found"))
 
 
-@query("x20_filled_placeholders", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_BRACKETS}, '\\[name\\]', 'Ann'), '\\[a b\\]', 'c'), '\\[name\\]', 'Ann') AS text FROM documents WHERE NOT contains(substr(text, 1, 40), '[')")
+@query("x20_filled_placeholders", f"""SELECT doc_id, list_reduce(list_concat([b], regexp_extract_all(b, '\\[[^\\]]+\\]')), lambda t, k:
+CASE WHEN k IN ('[name]', '[a b]') AND instr(t, k) > 0 THEN substr(t, 1, instr(t, k) - 1) || CASE k WHEN '[name]' THEN 'Ann' ELSE 'c' END || substr(t, instr(t, k) + length(k)) ELSE t END) AS text
+FROM (SELECT doc_id, {_BRACKETS} AS b FROM documents)""")
 def filled(spark, sf):
-    t = load(spark, sf, "documents").filter("NOT contains(substr(text, 1, 40), '[')")
-    values = F.create_map(F.lit("[name]"), F.lit("Ann"), F.lit("[a b]"), F.lit("c"))
-    return t.select("doc_id", tx.filled(F.expr(_BRACKETS), values).alias("text"))
-
-
-_WHOLE_BRACKETS = _BRACKETS.replace("substr(text, 1, 40)", "text")
-
-
-@query("x33b_placeholders_whole", f"SELECT doc_id, array_to_string(regexp_extract_all({_WHOLE_BRACKETS}, '\\[[^\\]]+\\]'), '|') AS found FROM documents")
-def placeholders_whole(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", F.array_join(tx.placeholders(F.expr(_WHOLE_BRACKETS)), "|").alias("found"))
-
-
-@query("x20b_filled_placeholders_whole")
-def filled_whole(spark, sf):
     values = F.create_map(F.lit("[name]"), F.lit("Ann"), F.lit("[a b]"), F.lit("c"))
-    return load(spark, sf, "documents").select("doc_id", tx.filled(F.expr(_WHOLE_BRACKETS), values).alias("text"))
+    return load(spark, sf, "documents").select("doc_id", tx.filled(F.expr(_BRACKETS), values).alias("text"))
 
 
 @query("x5_model_host", "SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS host FROM pages")
@@ -175,19 +136,13 @@ def split_tool_name(spark, sf):
     return load(spark, sf, "part").select("p_partkey", tx.provider(n).alias("provider"), tx.tool(n).alias("tool"))
 
 
-@query("x11_code_block", """SELECT doc_id, trim(substr(text, 1, 50)) AS code FROM documents WHERE NOT contains(substr(text, 1, 50), '`') AND NOT contains(substr(text, 1, 50), chr(10))""")
-def code_block(spark, sf):
-    t = load(spark, sf, "documents").filter("NOT contains(substr(text, 1, 50), '`') AND NOT contains(substr(text, 1, 50), char(10))")
-    head = F.substring("text", 1, 50)
-    reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure:\n```python\n"), head, F.lit("\n```\nand ```x```"))).otherwise(head)
-    return t.select("doc_id", tx.code_block(reply).alias("code"))
+_REPLY = "CASE WHEN doc_id % 2 = 0 THEN 'Sure:' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'and ```x```' ELSE text END"
 
 
-@query("x11b_code_block_whole")
-def code_block_whole(spark, sf):
-    text = F.col("text")
-    reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure:\n```python\n"), text, F.lit("\n```\nand ```x```"))).otherwise(text)
-    return load(spark, sf, "documents").select("doc_id", tx.code_block(reply).alias("code"))
+@query("x11_code_block", f"""SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(r, '(?s)```(python)?\\s*\\n.*?```') THEN regexp_extract(r, '(?s)```(?:python)?\\s*\\n(.*?)```', 1) ELSE r END, '^\\s+|\\s+$', '', 'g') AS code
+FROM (SELECT doc_id, {_REPLY} AS r FROM documents)""")
+def code_block(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", tx.code_block(F.expr(_REPLY.replace("chr(", "char("))).alias("code"))
 
 
 @query("x14_braced_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")

@@ -88,7 +88,7 @@ def statuses(spark, sf):
 
 def _responses(spark, sf):
     c = load(spark, sf, "conversations").filter("role = 'assistant'")
-    tool = F.struct(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit("find").alias("name"), F.lit("{}").alias("args"), F.substring("text", 1, 5).alias("result"))
+    tool = F.struct(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit("find").alias("name"), F.lit("{}").alias("args"), F.col("text").alias("result"))
     a = F.struct(
         F.lit("m").alias("id"), F.concat(F.lit("agent"), (F.col("turn") % 3).cast("string")).alias("agent"), F.lit(0.5).cast("double").alias("execution_time"),
         F.col("turn").alias("input_tokens"), (F.col("turn") + 7).alias("total_tokens"), F.array(tool).alias("tools"),
