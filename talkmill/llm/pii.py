@@ -1,31 +1,45 @@
 """Personal data by candidate gradient boosting, in DataFrame expressions only.
 
 1. Strict patterns with their checks (lengths, octets, Luhn) give the base spans.
-2. Looser generators propose overlapping spans: anything with an @ in it, dotted and coloned runs of
-   numbers, runs of 7 to 19 digits with separators, account numbers.
-3. Every candidate becomes a vector of yes/no features of its format and its context. Spark counts
-   how often each vector occurs with and without a base span under it (weak labels), over all texts; the
-   table has at most 2 ** (number of features) rows however large the corpus is. On it the driver
-   grows Newton-boosted trees of depth two, on the texts of four folds.
-4. On the fifth fold each generator gets its threshold: the least score from which on the wanted share
-   of candidates is right, by the lower end of a Wilson interval. Trees and thresholds become one
+2. Looser generators propose overlapping spans: mail addresses also where the @ is spelled out or the host has no
+   dot, dotted quads of any numbers, colon groups, unbroken digit runs, grouped numbers, account numbers.
+3. A candidate is verified if its own check holds: a base span of its kind lies on it, or the syntax of an IPv6
+   address or the check digits of an account number are right. Verified ones are the positive labels; the
+   others carry no label, as a mistyped or disguised number fails its check and is personal all the same.
+4. Every candidate becomes a vector of yes/no features of its format and its context. The part that the check
+   decides by (the @, the octets' range, the plus, the check digits) is no feature, so the trees can't copy
+   the checks: they learn what verified candidates look like and where they stand. Spark counts how often each vector
+   occurs, verified or not, by fold, over all texts; the table has at most 2 ** ``N_FEATURES`` vectors, however large
+   the corpus is. On it the driver grows Newton-boosted trees of depth two.
+5. Thresholds are calibrated on out-of-fold scores: isotonic regression gives the share of verified candidates at
+   each score, and that share divided by its mean over the verified ones (how often a true one passes the check)
+   is the probability that a candidate is true, as Elkan and Noto estimate it from positive and unlabelled data,
+   both less what passes by chance.
+   A generator's threshold is the least score where it reaches ``PROBABILITY``. Trees and thresholds become one
    expression, which selects candidates in place. Selected spans that overlap no base span are added.
 
-Positions come from the pieces between matches, so they count code points. No text is shuffled.
+Positions come from the pieces between matches, so they count code points. No text is shuffled. Places, overlaps and
+redactions are worked out with running sums and maxima, so the work grows with a text and its spans, not with
+their product.
 
-Defined cases: a null text is empty and has no spans; repeated rows get equal rows; without candidates
-or positives nothing is added; an empty table gives no rows; extra columns are ignored.
+Defined cases: a null text is empty and has no spans; repeated rows get equal rows; a generator without verified
+candidates adds nothing; an empty table gives no rows; extra columns are ignored. ``redact`` keeps null texts null,
+rows without spans as they are, and all columns, whatever they are called.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, whole_text
+from talkmill.functions.arrays import before, let, scan
+from talkmill.functions.text import blocks, cut
+
+from .common import fold, whole_text
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: kind, pattern, what a text must hold for it to match. They match what the plain patterns of the contract match,
@@ -36,34 +50,52 @@ BASE = (
     ("card", r"[0-9](?:[ -]?[0-9]){11,}+", r"[0-9](?:[ -]?[0-9]){11}"),
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
 )
-#: What proposes candidates: kind of the span it would add, pattern, what a text must hold.
+_AT, _DOT = r" ?[\[({](?i:at)[\])}] ?", r" ?[\[({](?i:dot)[\])}] ?| (?i:dot) "
+#: What proposes candidates: kind of the span it would add, pattern, what a text must hold, the base kinds
+#: that verify it, the share of other candidates whose check holds by chance (one in ten for a check digit, in 97 for two).
 GENERATORS = (
-    ("mail", r"(?:\G|(?<=[\s<>\"',;:|]))[^\s@<>\"',;:|]{1,64}+@[^\s@<>\"',;:|]{1,255}", "@"),
-    ("host", r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,4}(?:\.[0-9]{1,4}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7})(?![0-9A-Fa-f:.])", r"[0-9A-Fa-f][.:][0-9A-Fa-f]"),
-    ("number", r"\+?\(?[0-9](?:[ .()/-]{0,2}[0-9]){6,18}+", r"[0-9](?:[ .()/-]{0,2}[0-9]){6}"),
-    ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
-)
+    ("mail", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++(?:(?:@|{_AT}){_HOST}++(?:(?:\.|{_DOT}){_HOST}++)*+| (?i:at) {_HOST}++(?:(?:\.|{_DOT}){_HOST}++)++)",
+     r"@|[\[({](?i:at)[\])}]| (?i:at) [A-Za-z0-9-]+(?:\.[A-Za-z0-9]|[ \[({]+(?i:dot))", (0,), 0.0),
+    ("host", r"(?<![0-9A-Za-z.])[0-9]++(?:(?:\.|\[\.\]|\(\.\))[0-9]++){3}(?![0-9A-Za-z]|\.[0-9])", r"[0-9][\])]?\.|[\[(]\.[\])][0-9]", (1,), 0.0),
+    ("net", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}::?){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]:[0-9A-Fa-f:]*:[0-9A-Fa-f]", (), 0.0),
+    ("digits", r"(?<![0-9])[0-9]{7,19}+(?![0-9])", r"[0-9]{7}", (2, 3), 0.1),
+    ("number", r"(?<![0-9A-Za-z])(?:[0-9]{1,3}[ ./-])?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./-]{1,2}[0-9]{2,6}){1,5}+(?![0-9A-Za-z])", r"[0-9]\)?[ ./-]{1,2}[0-9]", (2, 3), 0.1),
+    ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", (), 1 / 97),
+)
+_NAMES = [g for g, *_ in GENERATORS]
 CUES = r"(?i)(?:call|tel|phone|mobil|fax|mail|contact|card|visa|iban|account|konto|ssn|host|server|ip|addr)"
-TREES, RATE, SMOOTH = 30, 0.3, 1.0
-PRECISION = 0.95
+#: What a number that is no personal one is led in by.
+OTHER = r"(?i)(?:order|invoice|sku|isbn|ref|item|version|ver|build|page|token|key|hash|id|nr|no)[\s:.#=\"']*$"
+#: Characters of context before a candidate.
+CONTEXT = 24
+TREES, RATE, SMOOTH, FOLDS = 30, 0.3, 1.0, 5
+PROBABILITY = 0.5
 SPAN = "array<struct<start: bigint, end: bigint, kind: int, match: string>>"
-KINDS = [k for k, *_ in BASE] + [k for k, *_ in GENERATORS]
+FOUND = "array<struct<start: bigint, end: bigint, kind: int, match: string, before: string, after: string>>"
+KINDS = [k for k, *_ in BASE] + _NAMES
+_FAR = 2**62
 
 
-def spans(text: Column, pattern: str, needs: str, kind: int) -> Column:
-    """All leftmost non-overlapping matches as structs with their places in code points."""
+def spans(text: Column, pattern: str, needs: str, kind: int, context: bool = False) -> Column:
+    """All leftmost non-overlapping matches as structs with their places in code points; with context, what stands
+    beside them (as far as to the match before)."""
     told = text.contains(needs) if needs == "@" else text.rlike(needs)
-    between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("match"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
+    def one(pieces: Column, starts: Column, m: Column, i: Column) -> Column:
+        piece = F.get(pieces, i)
+        start = F.get(starts, i) + F.length(piece)
+        out = [start.alias("start"), (start + F.length(m)).alias("end"), F.lit(kind).alias("kind"), m.alias("match")]
+        if context:
+            out += [F.right(piece, F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("after")]
+        return F.struct(*out)
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.when(told, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def placed(pieces: Column, matches: Column) -> Column:
+        sizes = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m))
+        return let(before(sizes), lambda starts: F.transform(matches, lambda m, i: one(pieces, starts, m, i)))
+
+    split = F.split(text, pattern, -1)
+    every = let(split, lambda ps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda ms: placed(ps, ms)))
+    return F.when(told, every).otherwise(F.array().cast(FOUND if context else SPAN))
 
 
 def digits(c: Column) -> Column:
@@ -80,6 +112,18 @@ def luhn(number: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0).otherwise(F.lit(False))
 
 
+def mod97(account: Column) -> Column:
+    """Whether an account number's check digits are right (ISO 7064, letters as 10 to 35)."""
+    plain = F.replace(account, F.lit(" "), F.lit(""))
+    turned = F.filter(F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.left(plain, F.lit(4))), ""), lambda ch: ch != "")
+    add = lambda t, ch: F.when(ch <= "9", t * 10 + F.ascii(ch) - 48).otherwise(t * 100 + F.ascii(ch) - 55) % 97
+    return F.aggregate(turned, F.lit(0), add) == 1
+
+
+def is_ipv6(match: Column) -> Column:
+    return match.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$") | (match.rlike("^[^:]+(?::[^:]+)*::[^:]+(?::[^:]+)*$") & (F.size(F.split(match, "::?")) <= 7))
+
+
 def _valid(s: Column) -> Column:
     m = s["match"]
     octets = m.rlike(r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$")
@@ -99,47 +143,79 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_spans(text: Column) -> Column:
-    """What the generators propose, the number of the generator as its kind."""
-    return F.concat(*(spans(text, p, needs, k) for k, (_, p, needs) in enumerate(GENERATORS)))
+    """What the generators propose, by place, the number of the generator as its kind."""
+    return F.array_sort(F.concat(*(spans(text, p, needs, k, context=True) for k, (_, p, needs, *_) in enumerate(GENERATORS))))
 
 
-def features(text: Column, s: Column) -> list[Column]:
-    """Yes/no features of a candidate's format and of what stands around it."""
-    m = s["match"]
-    before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)).cast("int"), F.least(s["start"], F.lit(24)).cast("int"))
-    after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(1))
+def features(s: Column) -> list[Column]:
+    """Yes/no features of a candidate's format and of what stands around it; none of what its check decides by."""
+    m, kind = s["match"], s["kind"]
     n = F.length(digits(m))
+    number, mail = kind == _NAMES.index("number"), kind == _NAMES.index("mail")  # brackets and blanks of mails disguise the @
     return [
-        s["kind"] == 0, s["kind"] == 1, s["kind"] == 2,
-        n >= 9, n >= 12, n >= 16,
-        m.startswith("+"), m.contains("("), m.rlike("[0-9][ -][0-9]"), m.contains("."),
-        m.rlike(r"^[\x21-\x7E]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}$"),
-        m.rlike(r"^(?:(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"),
-        luhn(digits(m)),
-        before.rlike(r"[0-9A-Za-z_./=#-]$") | after.rlike("[0-9A-Za-z_]"),
-        before.rlike(CUES),
+        *(kind == k for k in range(len(GENERATORS) - 1)),
+        n >= 9, n >= 12, n >= 14, n >= 16,
+        number & m.rlike(r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"),
+        number & m.rlike("[0-9]{3}[ .-][0-9]{4}$"), number & m.contains("("), number & m.rlike(r"[0-9]\.[0-9]"),
+        number & m.rlike("(?:19|20)[0-9]{2}[-./](?:0[0-9]|1[0-2])"),
+        mail & m.rlike("[A-Za-z]{2,6}$"), mail & m.rlike(rf"^[A-Za-z%+-]*[._0-9]{_LOCAL}*"), mail & m.rlike(" (?i:at) "),
+        s["before"].rlike("[0-9A-Za-z_./=#%$€-]$") | s["after"].rlike("[0-9A-Za-z_%$€]"),
+        s["before"].rlike(CUES), s["before"].rlike(OTHER),
     ]
 
 
-N_FEATURES = 15
+N_FEATURES = 20
+
+
+def ordered(found: Column, base: Column) -> Column:
+    """Base spans and candidates in one array by start, base spans first."""
+    mark = lambda b: lambda s: F.struct(s["start"].alias("start"), F.lit(not b).alias("own"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(b).alias("base"))
+    return F.array_sort(F.concat(F.transform(base, mark(True)), F.transform(found, mark(False))))
+
+
+def touched(order: Column, kinds: tuple[int, ...]) -> Column:
+    """array<boolean>: whether any base span of these kinds lies on each candidate of ``ordered``."""
+    mine = lambda x: x["base"] & x["kind"].isin(*kinds)
+    ends = F.transform(order, lambda x: F.when(mine(x), x["end"]).otherwise(F.lit(0).cast("bigint")))
+    starts = F.transform(F.reverse(order), lambda x: F.when(mine(x), x["start"]).otherwise(F.lit(_FAR)))
+    last = scan(ends, F.lit(0), lambda a, b: F.greatest(a, b), 0)
+    after = F.reverse(scan(starts, F.lit(_FAR), lambda a, b: F.least(a, b), _FAR))
+    sides = F.zip_with(last, after, lambda a, b: F.struct(a.alias("l"), b.alias("r")))
+    hit = F.zip_with(order, sides, lambda x, s: F.struct(x["base"].alias("base"), ((s["l"] > x["start"]) | (s["r"] < x["end"])).alias("hit")))
+    return F.transform(F.filter(hit, lambda x: ~x["base"]), lambda x: x["hit"])
+
+
+#: The base kinds that verify candidates, by group of generators.
+_GROUPS = sorted({ks for *_, ks, _ in GENERATORS if ks})
+
+
+def verified(s: Column, hits: list[Column]) -> Column:
+    """Whether a candidate's own check holds; hits: whether base spans of each group lie on it."""
+    out = F.when(s["kind"] == _NAMES.index("net"), is_ipv6(s["match"])).when(s["kind"] == _NAMES.index("account"), mod97(s["match"]))
+    for ks, hit in zip(_GROUPS, hits):
+        out = out.when(s["kind"].isin(*(g for g, (*_, own, _) in enumerate(GENERATORS) if own == ks)), hit)
+    return out
 
 
-def _overlaps(s: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+def described(found: Column) -> Column:
+    """The candidates with their features in an array: each tree looks them up, and none is worked out twice."""
+    return F.transform(found, lambda s: F.struct(s.alias("s"), F.array(*features(s)).alias("f")))
 
 
-def counts(docs: DataFrame) -> list[tuple[tuple[bool, ...], int, bool, bool, int]]:
-    """(features, generator, calibration fold, weak label, how often) over all candidates of all texts."""
-    t = docs.select(whole_text().alias("text"), (fold("doc_id", 5) == 0).alias("held"))
-    t = t.select("text", "held", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("found"))
-    # base spans go through the explode as a column: inside the lambda they would be found anew for each candidate
-    vector = F.transform("found", lambda s: F.struct(s.alias("s"), F.array(*features(F.col("text"), s)).alias("f")))
-    rows = t.select("held", "base", F.explode(vector).alias("c"))
-    bits = F.aggregate("c.f", F.lit(0), lambda a, b: a * 2 + b.cast("int"))
-    rows = rows.select("held", bits.alias("f"), F.col("c.s.kind").alias("g"), _overlaps(F.col("c.s"), F.col("base")).alias("y"))
-    rows = rows.groupBy("f", "g", "held", "y").count().collect()
+def counts(docs: DataFrame) -> list[tuple[tuple[bool, ...], int, int, bool, int]]:
+    """(features, generator, fold, verified, how often) over all candidates of all texts."""
+    t = docs.select(whole_text().alias("text"), fold("doc_id", FOLDS).cast("int").alias("fold"))
+    t = t.select("fold", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    t = t.select("fold", "s", ordered(F.col("s"), F.col("base")).alias("order"))
+    t = t.select("fold", "s", *(touched(F.col("order"), ks).alias(f"h{i}") for i, ks in enumerate(_GROUPS)))
+    # whole arrays are zipped: one that a lambda captures would be worked out anew for each candidate
+    rows = t.select("fold", F.explode(F.arrays_zip("s", *(f"h{i}" for i in range(len(_GROUPS))))).alias("x"))
+    y = verified(F.col("x.s"), [F.col(f"x.h{i}") for i in range(len(_GROUPS))])
+    rows = rows.select("fold", F.col("x.s.kind").alias("g"), F.array(*features(F.col("x.s"))).alias("f"), y.alias("y"))
+    bits = F.aggregate("f", F.lit(0), lambda a, b: a * 2 + b.cast("int"))
+    rows = rows.select(bits.alias("f"), "g", "fold", "y").groupBy("f", "g", "fold", "y").count().collect()
     unpack = lambda v: tuple(bool(v >> (N_FEATURES - 1 - i) & 1) for i in range(N_FEATURES))
-    return sorted((unpack(r["f"]), r["g"], r["held"], r["y"], r["count"]) for r in rows)
+    return sorted((unpack(r["f"]), r["g"], r["fold"], bool(r["y"]), r["count"]) for r in rows)
 
 
 @dataclass
@@ -148,7 +224,7 @@ class Trees:
 
     prior: float
     trees: list[tuple]
-    thresholds: list[float]
+    thresholds: list[float] = field(default_factory=list)
 
     def score(self, f: tuple[bool, ...]) -> float:
         total = self.prior
@@ -163,105 +239,118 @@ class Trees:
         return sum(parts, F.lit(self.prior))
 
 
-def _split(rows: list, grads: list[tuple[float, float]], of: list[int]) -> tuple[float, int, float, float]:
-    """The best feature of some rows: gain, feature, values of its leaves."""
-    best = (0.0, 0, 0.0, 0.0)
-    value = lambda g, h: -g / (h + SMOOTH)
-    gain = lambda g, h: g * g / (h + SMOOTH)
-    g_all, h_all = sum(grads[i][0] for i in of), sum(grads[i][1] for i in of)
-    best = (-1.0, 0, value(g_all, h_all), value(g_all, h_all))
-    for k in range(N_FEATURES):
-        g = sum(grads[i][0] for i in of if rows[i][0][k])
-        h = sum(grads[i][1] for i in of if rows[i][0][k])
-        won = gain(g, h) + gain(g_all - g, h_all - h) - gain(g_all, h_all)
-        if won > best[0] + 1e-9:
-            best = (won, k, value(g_all - g, h_all - h), value(g, h))
-    return best
-
-
-def boost(table: list[tuple], trees: int = TREES) -> tuple[float, list[tuple]]:
+def boost(table: list[tuple], trees: int = TREES) -> Trees:
     """Newton boosting of the log loss on counted feature vectors."""
     merged: dict = {}
     for f, _, _, y, n in table:
         pos, total = merged.get(f, (0, 0))
         merged[f] = (pos + n * y, total + n)
     rows = sorted(merged.items())
-    pos, total = sum(p for _, (p, _) in rows), sum(n for _, (_, n) in rows)
-    prior = math.log((pos + 0.5) / (total - pos + 0.5))
-    if not pos or pos == total:
-        return prior, []
-    logit, out = [prior] * len(rows), []
+    pos, total = (np.array([c[k] for _, c in rows], dtype=float) for k in (0, 1))
+    prior = math.log((pos.sum() + 0.5) / (total.sum() - pos.sum() + 0.5))
+    out = Trees(prior, [])
+    if not 0 < pos.sum() < total.sum():
+        return out
+    x = np.array([f for f, _ in rows], dtype=float)
+    own = lambda g, h: g * g / (h + SMOOTH)
+    logit = np.full(len(rows), prior)
     for _ in range(trees):
-        grads = []
-        for (_, (p, n)), z in zip(rows, logit):
-            q = 1 / (1 + math.exp(-z))
-            grads.append((n * q - p, n * q * (1 - q)))
-        every = list(range(len(rows)))
-        # a root is as good as the leaves under it
-        best = None
-        for root in range(N_FEATURES):
-            sides = [[i for i in every if rows[i][0][root] == v] for v in (False, True)]
-            if not all(sides):
-                continue
-            leaves = [_split(rows, grads, s) for s in sides]
-            won = sum(leaf[0] for leaf in leaves) + sum(
-                sum(grads[i][0] for i in s) ** 2 / (sum(grads[i][1] for i in s) + SMOOTH) for s in sides
-            )
-            if best is None or won > best[0]:
-                best = (won, root, leaves)
-        if best is None:
+        q = 1 / (1 + np.exp(-logit))
+        g, h = total * q - pos, total * q * (1 - q)
+        # sums over the rows with feature r (column 1) or without it (column 0), and within them over those with feature k
+        sums = {}
+        for v in (0, 1):
+            side = x if v else 1 - x
+            sums[v] = ((side * g[:, None]).sum(0), (side * h[:, None]).sum(0), x.T @ (side * g[:, None]), x.T @ (side * h[:, None]))
+        gain = {}
+        for v, (ga, ha, gk, hk) in sums.items():
+            gain[v] = own(gk, hk) + own(ga - gk, ha - hk)  # features k by roots r
+        best = gain[0].max(0) + gain[1].max(0)
+        best[(x.min(0) == x.max(0))] = -np.inf
+        if not np.isfinite(best.max()):
             break
-        _, root, leaves = best
-        no, yes = ((k, RATE * max(-4.0, min(4.0, a)), RATE * max(-4.0, min(4.0, b))) for _, k, a, b in leaves)
-        out.append((root, no, yes))
-        for i, (f, _) in enumerate(rows):
-            k, a, b = yes if f[root] else no
-            logit[i] += b if f[k] else a
-    return prior, out
-
-
-def _wilson(pos: int, n: int, z: float = 1.64) -> float:
+        root = int(np.argmax(np.round(best, 9)))
+        leaves = []
+        for v in (0, 1):
+            ga, ha, gk, hk = sums[v]
+            k = int(np.argmax(np.round(gain[v][:, root], 9)))
+            step = lambda a, b: float(RATE * np.clip(-a / (b + SMOOTH), -4, 4))
+            leaves.append((k, step(ga[root] - gk[k, root], ha[root] - hk[k, root]), step(gk[k, root], hk[k, root])))
+        out.trees.append((root, *leaves))
+        picked = np.where(x[:, root] > 0, np.where(x[:, leaves[1][0]] > 0, leaves[1][2], leaves[1][1]), np.where(x[:, leaves[0][0]] > 0, leaves[0][2], leaves[0][1]))
+        logit = logit + picked
+    return out
+
+
+def isotonic(points: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Points (score, verified, all) pooled until shares never fall as scores rise."""
+    pools: list[list[float]] = []
+    for score, pos, n in sorted(points):
+        pools.append([score, pos, n])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            _, p, m = pools.pop()
+            pools[-1][1] += p
+            pools[-1][2] += m
+    return [tuple(x) for x in pools]
+
+
+def wilson(pos: int, n: int, z: float = 1.64) -> float:
+    """The lower end of the interval that a share of pos in n stands for."""
     p = pos / n
     return (p + z * z / (2 * n) - z * math.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-def train(docs: DataFrame, precision: float = PRECISION) -> Trees:
+def calibrated(points: list[tuple[float, int, int]], chance: float = 0.0) -> list[tuple[float, float]]:
+    """(score, probability that a candidate from that score on is a true one).
+
+    chance: the share of others whose check holds by chance. None are told without verified candidates, or where
+    their share nowhere exceeds chance for certain, as the check then says nothing.
+    """
+    pools = isotonic(points)
+    of = lambda score: max((x for x in pools if x[0] <= score), default=pools[0])
+    found = sum(p for _, p, _ in points)
+    if not found or wilson(*pools[-1][1:]) <= chance:
+        return []
+    share = lambda pool: pool[1] / pool[2]
+    passing = sum(p * share(of(s)) for s, p, _ in points) / found  # how often a true one passes its check
+    return [(x[0], min(1.0, max(0.0, (share(x) - chance) / (passing - chance)))) for x in pools] if passing > chance else []
+
+
+def train(docs: DataFrame, probability: float = PROBABILITY) -> Trees:
     table = counts(docs)
-    model = Trees(*boost([r for r in table if not r[2]]), [])
-    for g in range(len(GENERATORS)):
-        by: dict[float, list[int]] = {}
-        for f, own, held, y, n in table:
-            if own == g and held:
-                pair = by.setdefault(round(model.score(f), 6), [0, 0])
+    model = boost(table)
+    points: dict[int, dict[float, list[int]]] = {}
+    for k in range(FOLDS):
+        part = boost([r for r in table if r[2] != k])
+        for f, g, own, y, n in table:
+            if own == k:
+                pair = points.setdefault(g, {}).setdefault(round(part.score(f), 6), [0, 0])
                 pair[0] += n * y
                 pair[1] += n
-        cut, pos, total = math.inf, 0, 0
-        for s in sorted(by, reverse=True):
-            pos, total = pos + by[s][0], total + by[s][1]
-            if _wilson(pos, total) >= precision:
-                cut = s - 1e-6
-        model.thresholds.append(cut)
+    for g in range(len(GENERATORS)):
+        told = calibrated([(s, p, n) for s, (p, n) in points.get(g, {}).items()], GENERATORS[g][4])
+        model.thresholds.append(min((s for s, p in told if p >= probability), default=math.inf) - 1e-6)
     return model
 
 
-def found(docs: DataFrame, model: Trees, keep: list[str]) -> DataFrame:
+def found(docs: DataFrame, model: Trees, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep``, the whole text, base spans, and the added ones (kinds go on after the base's)."""
-    t = docs.select(*keep, whole_text().alias("_text"))
-    t = t.select(*keep, "_text", base_spans(F.col("_text")).alias("_base"), candidate_spans(F.col("_text")).alias("_found"))
+    t = docs.select(*keep, whole_text(text).alias("_text"))
+    t = t.select(*keep, "_text", base_spans(F.col("_text")).alias("_base"), candidate_spans(F.col("_text")).alias("s"))
+    t = t.withColumn("h", touched(ordered(F.col("s"), F.col("_base")), tuple(range(len(BASE)))))
 
     def chosen(c: Column) -> Column:
-        cut = F.lit(math.inf)
-        for g, least in enumerate(model.thresholds):
-            cut = F.when(c["s"]["kind"] == g, F.lit(least)).otherwise(cut)
-        return (model.column([F.get(c["f"], F.lit(i)) for i in range(N_FEATURES)]) >= cut) & ~_overlaps(c["s"], F.col("_base"))
+        least = F.lit(math.inf)
+        for g, own in enumerate(model.thresholds):
+            least = F.when(c["s"]["kind"] == g, F.lit(own)).otherwise(least)
+        return model.column([F.get(c["f"], F.lit(i)) for i in range(N_FEATURES)]) >= least
 
-    # features stand in an array: each tree looks them up, and none is worked out twice
-    described = F.transform("_found", lambda s: F.struct(s.alias("s"), F.array(*features(F.col("_text"), s)).alias("f")))
+    free = F.transform(F.filter(F.arrays_zip("s", "h"), lambda x: ~x["h"]), lambda x: x["s"])
     more = F.transform(
-        F.filter(described, chosen),
+        F.filter(described(free), chosen),
         lambda c: F.struct(c["s"]["start"].alias("start"), c["s"]["end"].alias("end"), (c["s"]["kind"] + len(BASE)).alias("kind"), c["s"]["match"].alias("match")),
     )
-    return t.select(*keep, "_text", "_base", F.when(F.size("_found") > 0, more).otherwise(F.array().cast(SPAN)).alias("_more"))
+    return t.select(*keep, "_text", "_base", F.when(F.size("s") > 0, more).otherwise(F.array().cast(SPAN)).alias("_more"))
 
 
 def _listed(xs: Column) -> Column:
@@ -281,37 +370,45 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def _merged(xs: Column, reach: Column) -> Column:
+    """array<struct<start, end, kind>> of the runs of overlapping spans xs (by start), each of its first one's kind.
+
+    reach: the farthest end of the spans before each; a run reaches to what the next one's first span found so.
+    """
+    heads = F.filter(F.transform(reach, lambda r, i: F.when(F.get(xs, i)["start"] >= r, i)), lambda i: i.isNotNull())
+    end = lambda hs, k: F.coalesce(F.get(reach, F.get(hs, k + 1)), F.array_max(F.transform(xs, lambda s: s["end"])))
+    run = lambda hs: F.transform(hs, lambda i, k: F.struct(F.get(xs, i)["start"].alias("start"), end(hs, k).alias("end"), F.get(xs, i)["kind"].alias("kind")))
+    return let(heads, run)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    Columns stay as they are, but for the text of rows with spans and, where there is one, their ``n_chars``.
+    Columns stay as they are, but for the text of rows with spans and, where there is one, their ``n_chars``. Null
+    and empty texts, texts without spans and repeated rows stay; an empty table gives no rows.
     """
     names = docs.columns
-    clash = {c: fresh(f"{c}_", names) for c in names if c in ("_text", "_base", "_more", "_found", "_runs", "_new")}
-    own = docs.withColumnsRenamed(clash)
-    rows = found(own, train(docs), own.columns)
+    plain = [f"c{i}" for i in range(len(names))]  # under names of its own no column clashes with a helper's
+    at = [n.lower() for n in names].index("text")
+    own = docs.toDF(*plain)
+    rows = found(own.withColumn("doc_id", F.col(plain[[n.lower() for n in names].index("doc_id")])), train(docs), plain, plain[at])
     kinds = F.array(*map(lambda k: F.lit(f"[{k.upper()}]"), KINDS))
+    spans_ = F.transform(F.concat("_base", "_more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    def rewritten(runs: Column, bs: Column, n: Column) -> Column:
+        gap = lambda i: F.coalesce(F.get(runs, i - 1)["end"], F.lit(0).cast("bigint"))
+        parts = F.transform(runs, lambda s, i: F.concat(cut(bs, F.when(i > 0, gap(i)).otherwise(0), s["start"]), F.get(kinds, s["kind"])))
+        return F.concat(F.array_join(parts, ""), cut(bs, F.element_at(runs, -1)["end"], n))
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        both = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), both).otherwise(F.array_append(acc, s))
-
-    plain = F.transform(F.concat("_base", "_more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    runs = F.aggregate(F.array_sort(plain), F.array().cast("array<struct<start: bigint, end: bigint, kind: int>>"), merge)
-    cut = F.aggregate(
-        "_runs",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            s["end"].alias("at"),
-            F.array_append(F.array_append(acc["out"], F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))), F.get(kinds, s["kind"])).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), F.length("_text"))),
-    )
     some = F.size("_base") + F.size("_more") > 0
-    rows = rows.withColumn("_runs", F.when(some, runs)).withColumn("_new", F.when(some, cut))
-    out = {"text": F.coalesce("_new", F.col("text").cast("string"))}
-    if "n_chars" in names:
-        out["n_chars"] = F.when(some, F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*((out[c] if c in out else F.col(clash.get(c, c))).alias(c) for c in names))
+    rows = rows.withColumn("_some", some).withColumn("_spans", F.array_sort(spans_))
+    rows = rows.withColumn("_reach", scan(F.transform("_spans", lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b), 0))
+    merged = let(F.col("_spans"), lambda xs: let(F.col("_reach"), lambda r: _merged(xs, r)))
+    rows = rows.withColumn("_runs", F.when(F.col("_some"), merged))
+    new = let(F.col("_runs"), lambda rs: let(blocks(F.col("_text")), lambda bs: let(F.length("_text").cast("bigint"), lambda n: rewritten(rs, bs, n))))
+    rows = rows.withColumn("_new", F.when(F.col("_some"), new))
+    out = {at: F.coalesce("_new", F.col(plain[at]).cast("string"))}
+    for i, n in enumerate(names):
+        if n.lower() == "n_chars":
+            out[i] = F.when(F.col("_some"), F.length("_new")).otherwise(F.col(plain[i])).cast(docs.schema[i].dataType)
+    return rows.select(*(out.get(i, F.col(c)).alias(n) for i, (c, n) in enumerate(zip(plain, names))))
