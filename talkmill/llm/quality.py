@@ -1,22 +1,24 @@
 """Quality classifier: random-indexing word vectors, pooled per text, under a two-layer network.
 
 Every raw word gives two units: its lower-cased letters and digits, and its shape (runs of capitals, small
-letters, digits and each other sign; a word that repeats its predecessor has a shape of its own). Units
-are hashed into ``UNITS`` rows. A unit's index vector is sparse, ternary and fixed by its hash; its word
-vector is the sum of the index vectors of its neighbours over all texts, which Spark sums row by row with
-partial sums in each task. A text is the mean of its words' and of its shapes' unit-length vectors, with two
-length features. Up to ``MAX_LABELLED`` labelled texts train the network on the driver; a fifth of
-them is held back to fit the temperature that calibrates its probabilities.
+letters, digits and each other sign; a word that repeats its predecessor has a shape of its own). A word's index
+vector is sparse, ternary and fixed by its hash. The ``WORDS`` most frequent words and ``SHAPES`` most frequent shapes
+of the labelled training texts have a context vector each: the sum of the index vectors of what stands beside them
+in all texts, which Spark sums row by row with partial sums in each task. Any other word is its index vector,
+whose ``NONZERO`` places no other word is likely to share; rarer shapes count as one. A text is the mean of its words'
+and of its shapes' unit-length vectors, with two length features. Up to ``MAX_LABELLED`` labelled texts train the
+network on the driver; a fifth of them is held back to fit the temperature that calibrates its probabilities.
 
 Defined cases: null and word-less texts pool to zero vectors and are scored like any other; without
 labels of both kinds every score is the share of good ones (0.5 without any label); labels that are null
-teach nothing, a doc_id labelled twice counts as its larger label; repeated rows get equal results; an
-empty table gives no rows; extra columns are ignored.
+teach nothing, a doc_id labelled twice counts as its larger label, one with several texts teaches its smallest;
+repeated rows get equal results; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,113 +31,133 @@ from pyspark.sql import types as T
 
 from .common import fold, fresh, text_bytes
 
-#: Rows of units: words are hashed into the first WORDS, shapes into the others.
-WORDS, SHAPES = 6144, 2048
-UNITS = WORDS + SHAPES
-DIM, NONZERO = 64, 2
+#: Words and shapes with a context vector of their own: the most frequent ones of the labelled training texts.
+WORDS, SHAPES = 16_000, 1_000
+DIM, NONZERO = 64, 3
 HIDDEN = 32
 MAX_LABELLED = 20_000
 CUT = 0.7
-_CACHE = 400_000
-_REPEAT = UNITS - 1
-_RUNS = (re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+"))
-_DROP = re.compile(rb"[^0-9a-z\x80-\xff]+")
-_SIGNS = re.compile(rb"([^Xx9])\1+")
-
-
-class _Units(dict):
-    """Raw word to word unit + UNITS * shape unit."""
+_CACHE = 1_000_000
+#: Bytes of a word's letters and digits, lower-cased; the others are dropped.
+_DROP = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
+_LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_CLASS = bytes(88 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else 120 if 97 <= b <= 122 or b > 127 else b for b in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
+_CODE = 6 * NONZERO + NONZERO  # bits of an index vector: its places and signs
+
+
+def parts(raw: bytes) -> tuple[bytes, bytes]:
+    """Letters and digits of a raw word, and its shape."""
+    return raw.translate(_LOW, _DROP), _RUN.sub(rb"\1", raw.translate(_CLASS))
+
+
+class Units(dict):
+    """Raw word to a long: row of the word (0 of a rare one), row of its shape, and the word's hash, whose low bits code
+    its index vector. Rows from 1 are words, after them shapes, the first of which stands for rare ones and the next
+    for words that repeat the one before."""
+
+    def __init__(self, words: list[bytes], shapes: list[bytes]):
+        super().__init__()
+        self.words = {w: i for i, w in enumerate(words, 1)}
+        self.first = len(words) + 1
+        self.repeat = self.first + 1
+        self.shapes = {s: i for i, s in enumerate(shapes, self.first + 2)}
+        self.rows = self.first + 2 + len(shapes)
+        #: What codes the index vector of each row that is a shape's.
+        self.codes = np.array([xxhash.xxh3_64_intdigest(b"shape %d" % i) & (2**_CODE - 1) for i in range(self.rows)], np.int64)
 
     def __missing__(self, raw: bytes) -> int:
         if len(self) > _CACHE:
             self.clear()
-        word = _DROP.sub(b"", raw.lower())
-        shape = raw
-        for sign, run in zip((b"\1", b"\2", b"\3"), _RUNS):
-            shape = run.sub(sign, shape)
-        shape = _SIGNS.sub(rb"\1", shape.replace(b"\1", b"X").replace(b"\2", b"x").replace(b"\3", b"9"))[:64]
-        w = xxhash.xxh3_64_intdigest(word) % WORDS
-        s = WORDS + xxhash.xxh3_64_intdigest(shape) % (SHAPES - 1)
-        u = self[raw] = w + UNITS * s
-        return u
-
-
-_units = _Units()
-
-
-def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Word units and shape units of the text's words."""
-    raw = text.split()
-    both = np.fromiter(map(_units.__getitem__, raw), np.int64, len(raw))
-    words, shapes = both % UNITS, both // UNITS
-    if len(both) > 1:
-        shapes[1:][both[1:] == both[:-1]] = _REPEAT
-    return words, shapes
-
-
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Where each unit's index vector is not zero, and its signs there."""
-    rng = np.random.default_rng(7)
-    where = np.stack([rng.choice(DIM, NONZERO, replace=False) for _ in range(UNITS)])
-    return where, rng.choice([-1.0, 1.0], size=(UNITS, NONZERO))
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    where, signs = index_vectors()
-    total = np.zeros(UNITS * DIM)
-    used = np.zeros(UNITS, bool)
-
-    def add(run: list[np.ndarray]) -> None:
-        seq = np.concatenate(run)
-        used[seq[seq >= 0]] = True
-        for gap in (1, 2):
-            a, b = seq[:-gap], seq[gap:]
-            ok = (a >= 0) & (b >= 0)
-            a, b = a[ok], b[ok]
-            for here, other in ((a, b), (b, a)):
-                for j in range(NONZERO):
-                    total[:] += np.bincount(here * DIM + where[other, j], weights=signs[other, j], minlength=UNITS * DIM)
-
-    for batch in batches:
-        run, size = [], 0
-        for t in batch["text"]:
-            words, shapes = units_of(t.as_py())
-            if len(words):
-                seq = np.full(2 * len(words) + 2, -1, np.int64)  # a gap of two between texts
-                seq[:-2:2], seq[1:-2:2] = words, shapes
-                run.append(seq)
-                size += len(seq)
-            if size > 2_000_000:
-                add(run)
-                run, size = [], 0
-        if run:
-            add(run)
-    at = np.flatnonzero(used)
-    if len(at):
-        rows = total.reshape(UNITS, DIM)[at]
-        names = ["unit", *(f"d{i}" for i in range(DIM))]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(rows[:, i]) for i in range(DIM))], names=names)
-
-
-def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Unit-length context vectors of all units, summed over all texts (at most UNITS rows reach the driver)."""
-    schema = T.StructType([T.StructField("unit", T.LongType()), *(T.StructField(f"d{i}", T.DoubleType()) for i in range(DIM))])
-    sums = docs.select(text_bytes(text).alias("text")).mapInArrow(_contexts, schema)
-    rows = sums.groupBy("unit").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(DIM))).collect()
-    out = np.zeros((UNITS, DIM))
-    for r in rows:
-        out[r[0]] = r[1:]
+        word, shape = parts(raw)
+        row = self.words.get(word, 0) << 47 | self.shapes.get(shape, self.first) << 31
+        unit = self[raw] = row | xxhash.xxh3_64_intdigest(word) & (2**31 - 1)
+        return unit
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and rows of the text's words, and rows of their shapes."""
+        raw = text.split()
+        unit = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        words, shapes, hashes = unit >> 47, unit >> 31 & 0xFFFF, unit & (2**31 - 1)
+        if len(unit) > 1:
+            shapes[1:][unit[1:] == unit[:-1]] = self.repeat
+        return hashes, words, shapes
+
+
+def places(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The places of index vectors that are not zero, and the signs there."""
+    return [(codes >> 6 * j & 63, 1.0 - 2.0 * (codes >> 6 * NONZERO + j & 1)) for j in range(NONZERO)]
+
+
+def _contexts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(*shared.value)
+        total = np.zeros(units.rows * DIM)
+
+        def add(rows: np.ndarray, codes: np.ndarray) -> None:
+            for gap in (1, 2):
+                for here, other in ((rows[:-gap], codes[gap:]), (rows[gap:], codes[:-gap])):
+                    ok = (here > 0) & (other >= 0)
+                    at, code = here[ok] * DIM, other[ok]
+                    for where, sign in places(code):
+                        total[:] += np.bincount(at + where, weights=sign, minlength=len(total))
+
+        def both(run: list[tuple]) -> None:
+            # words and shapes in turn, with a gap of two between texts
+            size = sum(2 * len(w) + 2 for _, w, _ in run)
+            rows, codes, at = np.zeros(size, np.int64), np.full(size, -1, np.int64), 0
+            for hashes, words, shapes in run:
+                end = at + 2 * len(words)
+                rows[at:end:2], rows[at + 1 : end : 2] = words, shapes
+                codes[at:end:2], codes[at + 1 : end : 2] = hashes & (2**_CODE - 1), units.codes[shapes]
+                at = end + 2
+            add(rows, codes)
+
+        run_, size = [], 0
+        for batch in batches:
+            for t in batch["text"]:
+                run_.append(units.of(t.as_py()))
+                size += len(run_[-1][0])
+                if size > 500_000:
+                    both(run_)
+                    run_, size = [], 0
+        if run_:
+            both(run_)
+        table = total.reshape(units.rows, DIM)
+        at = np.flatnonzero(table.any(1))
+        if len(at):
+            names = ["unit", *(f"d{i}" for i in range(DIM))]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(table[at, i].astype(np.int64)) for i in range(DIM))], names=names)
+
+    return run
+
+
+def word_vectors(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]], text: str = "text") -> np.ndarray:
+    """Unit-length context vectors of all rows, summed over all texts (at most WORDS + SHAPES + 3 reach the driver)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = T.StructType([T.StructField("unit", T.LongType()), *(T.StructField(f"d{i}", T.LongType()) for i in range(DIM))])
+    sums = docs.select(text_bytes(text).alias("text")).mapInArrow(_contexts(shared), schema)
+    table = sums.groupBy("unit").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(DIM))).toArrow()
+    out = np.zeros((Units(*vocabulary).rows, DIM))
+    if table.num_rows:
+        out[table["unit"].to_numpy()] = np.stack([table[f"d{i}"].to_numpy() for i in range(DIM)], 1)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def pooled(text: bytes, vectors: np.ndarray) -> np.ndarray:
-    words, shapes = units_of(text)
+def pooled(text: bytes, units: Units, vectors: np.ndarray) -> np.ndarray:
+    hashes, words, shapes = units.of(text)
     out = np.zeros(2 * DIM + 2, np.float32)
     if len(words):
-        out[:DIM] = vectors[words].mean(0)
+        n = len(words)
+        total = vectors[words[words > 0]].sum(0, dtype=np.float64)
+        rare = hashes[words == 0]
+        if len(rare):
+            for where, sign in places(rare):
+                total += np.bincount(where, weights=sign, minlength=DIM) / np.sqrt(NONZERO)
+        out[:DIM] = total / n
         out[DIM : 2 * DIM] = vectors[shapes].mean(0)
-        out[-2] = np.log1p(len(words)) / 10
-        out[-1] = len(np.unique(words)) / len(words)
+        out[-2] = np.log1p(n) / 10
+        out[-1] = len(np.unique(hashes)) / n
     return out
 
 
@@ -198,46 +220,80 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5, epochs: int = 30) -> Netw
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, held_out, max_labelled: int = MAX_LABELLED) -> Network:
-    """Trains on at most ``max_labelled`` labelled rows, chosen by a hash of the id, outside the held-out fold."""
+def taught(docs: DataFrame, labels: DataFrame, held_out, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """_id, _y and text of at most ``max_labelled`` labelled ids, chosen by a hash of the id, outside the held-out fold."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     known = known.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
     known = known.orderBy(F.xxhash64("_id", F.lit(17)), "_id").limit(max_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_bytes().alias("text"))
-    taught = texts.join(F.broadcast(known), "_id").select("_id", "_y", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    return texts.join(F.broadcast(known), "_id").groupBy("_id", "_y").agg(F.min("text").alias("text"))
+
+
+def vocabulary(rows: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """The most frequent words and shapes of the (bounded) training texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw: Counter = Counter()
+        for batch in batches:
+            for t in batch["text"]:
+                raw.update(t.as_py().split())
+        words, shapes = Counter(), Counter()
+        for r, c in raw.items():
+            w, s = parts(r)
+            words[w] += c
+            shapes[s] += c
+        for kind, counted in ((0, words), (1, shapes)):
+            if counted:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(counted), pa.int32()), pa.array(list(counted), pa.binary()), pa.array(list(counted.values()), pa.int64())], names=["kind", "unit", "c"]
+                )
+
+    sums = rows.select("text").mapInArrow(count, "kind int, unit binary, c long").groupBy("kind", "unit").agg(F.sum("c").alias("c"))
+    top = lambda kind, n: [bytes(r["unit"]) for r in sums.filter(F.col("kind") == kind).orderBy(F.desc("c"), "unit").limit(n).collect()]
+    return top(0, WORDS), top(1, SHAPES)
+
+
+def fit(rows: DataFrame, shared) -> Network:
+    """Trains on the rows of ``taught``; shared: vocabulary and vectors."""
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, vectors = shared.value
+        units = Units(*words)
         for batch in batches:
-            rows = [pooled(t.as_py(), shared.value).tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_y"], pa.array(rows, pa.binary())], names=["_id", "_y", "x"])
+            found = [pooled(t.as_py(), units, vectors).tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_y"], pa.array(found, pa.binary())], names=["_id", "_y", "x"])
 
-    rows = taught.mapInArrow(pool, "_id long, _y int, x binary").limit(2 * max_labelled).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_y"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], dtype=np.float64).reshape(len(rows), 2 * DIM + 2)
-    return train(x, np.array([float(r["_y"]) for r in rows]))
+    found = rows.mapInArrow(pool, "_id long, _y int, x binary").collect()  # MAX_LABELLED rows at most
+    found.sort(key=lambda r: r["_id"])
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in found], dtype=np.float64).reshape(len(found), 2 * DIM + 2)
+    return train(x, np.array([float(r["_y"]) for r in found]))
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = CUT) -> DataFrame:
     """The documents' rows with quality_score and quality_ok after their own columns."""
     spark = docs.sparkSession
-    vectors = word_vectors(docs)
-    model = spark.sparkContext.broadcast((fit(docs, labels, vectors, fold("doc_id", folds) == held), vectors))
     names = docs.columns
+    if {n.lower() for n in names} & {"quality_score", "quality_ok"}:
+        raise ValueError("the documents have a column quality_score or quality_ok already")
+    rows = taught(docs, labels, fold("doc_id", folds) == held)
+    words = vocabulary(rows)
+    vectors = word_vectors(docs, words)
+    net = fit(rows, spark.sparkContext.broadcast((words, vectors)))
+    model = spark.sparkContext.broadcast((net, words, vectors))
+    at = [n.lower() for n in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, own = model.value
+        net, words, own = model.value
+        units = Units(*words)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([pooled((t.as_py() or "").encode(), own) for t in batch["text"]])
-            p = np.array([net.probability(r) for r in x])  # row by row, so that a batch's make-up changes no bit
+            # row by row, so that a batch's make-up changes no bit
+            p = np.array([net.probability(pooled((t.as_py() or "").encode(), units, own).astype(np.float64)) for t in batch.column(at)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(p >= cut)], names=[*names, "quality_score", "quality_ok"])
 
-    schema = T.StructType([f for f in docs.schema if f.name not in ("quality_score", "quality_ok")])
-    if len(schema) < len(names):
-        raise ValueError("the documents have a column quality_score or quality_ok already")
-    return docs.mapInArrow(run, schema.add("quality_score", T.DoubleType()).add("quality_ok", T.BooleanType()))
+    schema = T.StructType([*docs.schema, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_ok", T.BooleanType())])
+    return docs.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
@@ -248,7 +304,11 @@ def digest(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
-    narrow = docs.withColumnsRenamed({c: fresh(c, docs.columns) for c in ("quality_score", "quality_ok") if c in docs.columns})
+    """The documents that the classifier accepts, with their own columns, whatever they are called.
+
+    Null and empty texts are scored like any other, repeated rows go or stay together, an empty table stays empty.
+    """
+    own = {"quality_score", "quality_ok"}
+    narrow = docs.toDF(*(fresh(f"{c}_", docs.columns) if c.lower() in own else c for c in docs.columns))
     kept = scored(narrow, labels).filter("quality_ok").drop("quality_score", "quality_ok")
     return kept.toDF(*docs.columns)

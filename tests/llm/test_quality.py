@@ -30,6 +30,8 @@ def test_odd_rows(spark):
     assert len(got) == len(rows)
     assert np.mean([r.predicted == (r.doc_id < 80) for r in got if r.doc_id is not None and r.doc_id < 160]) > 0.97
     kept = q.keep_good(docs, labels)
+    clashing = docs.withColumnRenamed("quality_score", "Quality_Score").withColumnRenamed("text", "Text")
+    assert q.keep_good(clashing, labels).columns == clashing.columns
     assert kept.columns == docs.columns and 70 <= kept.filter("doc_id < 160").count() <= 90
     with pytest.raises(ValueError):
         q.scored(docs, labels)
@@ -46,3 +48,46 @@ def test_temperature_calibrates():
     p = net.probability(x[2000:])
     high = p > 0.8
     assert abs(y[2000:][high].mean() - p[high].mean()) < 0.1
+
+
+def test_units():
+    assert q.parts(b"It's-2024!!") == (b"its2024", b"Xx'x-9!") and q.parts("Été".encode())[1] == b"x"
+    u = q.Units([b"the", b"tree"], [b"x"])
+    hashes, words, shapes = u.of(b"the The oak oak tree")
+    assert words.tolist() == [1, 1, 0, 0, 2] and shapes.tolist() == [u.first + 2, u.first, u.first + 2, u.repeat, u.first + 2]
+    assert hashes[0] == hashes[1] and hashes[2] == hashes[3] != hashes[0]
+
+
+def test_context_vectors_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["the", "Tree", "oak", "rare1", "rare2", "RIVER!"], k=rng.randrange(9))) for _ in range(40)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = ([b"the", b"tree", b"river"], [b"x", b"X!"])
+    u = q.Units(*words)
+    want = np.zeros((u.rows, q.DIM))
+    for t in texts:
+        hashes, ws, shapes = u.of((t or "").encode())
+        seq = [x for h, w, s in zip(hashes, ws, shapes) for x in ((w, int(h) & (2**q._CODE - 1)), (s, int(u.codes[s])))]
+        for i, (row, _) in enumerate(seq):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if row and 0 <= j < len(seq):
+                    for where, sign in q.places(np.array([seq[j][1]])):
+                        want[row, where[0]] += sign[0]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    assert np.allclose(q.word_vectors(docs, words), want, atol=1e-6)
+
+
+def test_scores_against_brute_force(spark):
+    """The registered query's scores, worked out again text by text with the same vocabulary and network."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = q.taught(docs, labels, q.fold("doc_id", 4) == 2)
+    words = q.vocabulary(rows)
+    vectors = q.word_vectors(docs, words)
+    net = q.fit(rows, spark.sparkContext.broadcast((words, vectors)))
+    units = q.Units(*words)
+    got = {r.doc_id: r for r in q.digest(docs, labels).collect()}
+    for r in docs.collect():
+        x = q.pooled((r.text or "").encode(), units, vectors).astype(float)
+        h = np.tanh(((x - net.mean) / net.scale) @ net.w1 + net.b1)
+        z = float(np.clip((h @ net.w2 + net.b2) / net.temperature, -30, 30))
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-z))) < 1e-9 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
