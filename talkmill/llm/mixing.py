@@ -4,15 +4,19 @@ A source with n of the N rows of all listed sources and the share w of their sum
 mean rate w * N / n. Each document draws its count from the Poisson distribution of its source's rate,
 by inversion of a uniform number that md5 makes of the seed and the document; so the draw depends on
 nothing else and repeats exactly. Documents are exploded by their counts and dealt out by a hash of
-document and copy, in whose order they stand in each partition.
+document, copy and row, in the order of the first two in each partition.
 
-Only the listed sources (a parameter, ``MAX_SOURCES`` at most) reach the driver, as one count each; their
-cumulative distributions go into the plan as literals. Nothing is grouped by source afterwards, so
-a hot source is no hot key.
+Inversion steps through the distribution, so a rate above ``PART`` is split: a sum of independent Poisson counts is
+a Poisson count of the summed rate. Such a document becomes so many parts, which are dealt out, and each draws on
+its own. So a document that stands for very many is not exploded in one task, and the plan is the same at any rate.
+
+Only the listed sources (a parameter, ``MAX_SOURCES`` at most) reach the driver, as one count each, and their rates
+are broadcast. Nothing is grouped by source afterwards, so a hot source is no hot key.
 
 Defined cases: sources that are not listed, and null ones, keep the rate ``other``; a null doc_id
-draws by its text; repeated rows draw alike; a source of weight 0 disappears; an empty table gives no
-rows. A column named ``copy_no`` in the documents is replaced.
+draws by its text, a null text as an empty one; repeated rows draw alike; very long texts are copied whole; a source
+of weight 0 disappears; an empty table gives no rows. All columns stay, whatever they are called: where the documents
+have a ``copy_no``, in any case, the new one gets underscores.
 """
 
 from __future__ import annotations
@@ -28,29 +32,30 @@ from .common import fresh
 TARGETS = {f"src{i}": 1.0 for i in range(20)}
 MAX_SOURCES = 10_000
 SEED = "mix-1"
+#: Largest rate of one draw, and a number that no draw of it reaches.
+PART, MOST = 32.0, 1024
 _DIGITS = 13  # hexadecimal digits of a uniform number: 52 bits
 
 
-def cumulative(rate: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... until it is 1 in doubles."""
-    if rate <= 0:
-        return [1.0]
-    out, total = [], 0.0
-    for k in range(int(rate + 12 * math.sqrt(rate) + 40)):
-        total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
-        out.append(total)
-        if k > rate and total >= 1 - 2.0**-53:
-            break
-    return out
+def inverted(rate: Column, u: Column) -> Column:
+    """The least k with P(X <= k) > u, for a rate of at most ``PART``."""
+    steps = (rate + F.sqrt(rate) * 12 + 40).cast("int")
+    zero = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("p"), F.exp(-rate).alias("s"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * rate / k
+        return F.struct((acc["n"] + (acc["s"] <= u).cast("int")).alias("n"), p.alias("p"), (acc["s"] + p).alias("s"))
+
+    return F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda acc: acc["n"])
 
 
-def identity() -> Column:
+def identity(doc_id: str = "doc_id", text: str = "text") -> Column:
     """What a document is drawn by: its id, or without one its text."""
-    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-def uniform(seed: str) -> Column:
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), identity())), 1, _DIGITS), 16, 10).cast("double")
+def uniform(key: Column) -> Column:
+    bits = F.conv(F.substring(F.md5(key), 1, _DIGITS), 16, 10).cast("double")
     return (bits + 0.5) / F.lit(2.0 ** (4 * _DIGITS))
 
 
@@ -67,25 +72,39 @@ def rates(docs: DataFrame, targets: dict[str, float], total: float = 1.0) -> dic
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, total: float = 1.0, other: float = 1.0, seed: str = SEED) -> DataFrame:
-    """The documents' columns and copy_no (from 1), each document as often as it was drawn."""
-    targets = TARGETS if targets is None else targets
-    tables: dict[float, list[str]] = {}
-    for s, r in sorted(rates(docs, targets, total).items()):
-        tables.setdefault(r, []).append(s)
-    below = lambda r: F.array(*map(F.lit, cumulative(r)))
-    steps = below(other)
-    for r, sources in tables.items():
-        steps = F.when(F.col("source").cast("string").isin(sources), below(r)).otherwise(steps)
-    u = uniform(seed)
-    drawn = F.size(F.filter(steps, lambda c: c <= u))
-    names = [c for c in docs.columns if c != "copy_no"]
-    copies = docs.select(*names, F.explode(F.sequence(F.lit(0), drawn)).alias("copy_no")).filter("copy_no > 0")
-    place = F.md5(F.concat(F.lit(f"{seed}|place|"), F.col("copy_no").cast("string"), F.lit("|"), identity()))
-    own = fresh("_place", names)
-    return copies.withColumn(own, place).repartition(own).sortWithinPartitions(own).drop(own)
+    """The documents' columns and copy_no, each document as often as it was drawn.
+
+    copy_no counts a document's copies from 1; where its rate is above ``PART``, from 1 in each part, the parts being
+    ``MOST`` apart.
+    """
+    spark = docs.sparkSession
+    own = rates(docs, TARGETS if targets is None else targets, total)
+    names = [n.lower() for n in docs.columns]
+    plain = [f"c{i}" for i in range(len(names))]
+    of = {n: plain[names.index(n)] for n in ("doc_id", "text", "source")}
+    listed = spark.createDataFrame(sorted(own.items()), "listed string, rate double")  # MAX_SOURCES rows at most
+    rows = docs.toDF(*plain).join(F.broadcast(listed), F.col(of["source"]).cast("string") == F.col("listed"), "left")
+    rate = F.coalesce("rate", F.lit(float(other)))
+    parts = F.greatest(F.lit(1.0), F.ceil(rate / PART))
+    key = identity(of["doc_id"], of["text"])
+    rows = rows.select(*plain, key.alias("key"), (rate / parts).alias("rate"), parts.cast("long").alias("parts"))
+
+    drawn = rows.filter("parts = 1").withColumn("part", F.lit(0).cast("long")).withColumn("u", uniform(F.concat(F.lit(f"{seed}|"), "key")))
+    if max([other, *own.values()]) > PART:
+        many = rows.filter("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        many = many.withColumn("row", F.monotonically_increasing_id()).repartition("row", "part").drop("row")
+        drawn = drawn.unionByName(many.withColumn("u", uniform(F.concat_ws("|", F.lit(seed), F.lit("part"), F.col("part").cast("string"), "key"))))
+    n = F.when(F.col("rate") > 0, inverted(F.col("rate"), F.col("u"))).otherwise(0)
+    copies = drawn.select(*plain, "key", "part", F.explode(F.sequence(F.lit(0), n)).alias("n")).filter("n > 0")
+    copies = copies.select(*plain, "key", (F.col("part") * MOST + F.col("n")).alias("copy"), F.monotonically_increasing_id().alias("row"))
+    place = F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), F.col("copy").cast("string"), "key"))
+    # the row's number spreads copies of rows that are equal in all else
+    dealt = copies.withColumn("place", place).repartition("place", "row").sortWithinPartitions("place")
+    return dealt.select(*plain, "copy").toDF(*docs.columns, fresh("copy_no", docs.columns))
 
 
 def oracle(targets: dict[str, float] = TARGETS, seed: str = SEED) -> str:
+    """For rates of at most ``PART``."""
     listed = ", ".join(f"('{s}', {w})" for s, w in targets.items())
     return f"""
 WITH t(source, w) AS (VALUES {listed}),
@@ -96,4 +115,4 @@ d AS (SELECT documents.*, coalesce(rate, 1.0)::DOUBLE AS rate,
     FROM documents LEFT JOIN r USING (source)),
 c AS (SELECT *, CASE WHEN rate = 0 THEN 0 ELSE len(list_filter(range((rate + 12 * sqrt(rate) + 40)::INT),
     lambda k: list_sum(list_transform(range(k + 1), lambda i: exp(-rate + i * ln(rate) - lgamma(i + 1)))) <= u)) END AS copies FROM d)
-SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::INT AS copy_no FROM c"""
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::BIGINT AS copy_no FROM c"""
