@@ -1,9 +1,12 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The normalised test items (a bounded side, built in blocks of ``BLOCK_WORDS`` words) become one
-automaton over word ids. Training texts stream through it word by word, which gives at each word
-the length of the longest match ending there. A run of at least ``window`` words (or the whole of
-a shorter item) marks the words it covers.
+The normalised test items become automata over word ids, each over a block of ``BLOCK_WORDS`` words. Training
+texts stream through an automaton word by word, which gives at each word the length of the longest match ending
+there. A run of at least ``window`` words (or the whole of a shorter item) marks the words it covers.
+
+One automaton at a time is in the driver and in the workers. With one block the texts are read once and nothing is
+shuffled. With more, each block is a pass over the texts whose finds are written by text digest, and the passes
+are put together by that digest; what an executor holds doesn't grow with the items.
 
 Defined cases: a null or word-less text has no words and no hits; a null item or an item without
 words never occurs; items that repeat an item_id count once,
@@ -13,20 +16,23 @@ their own, equal, result; an empty benchmark hits nothing; extra columns are ign
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, text_bytes
+from .common import alnum_words, forget, shared_dir, stored, text_bytes
 
 WINDOW = 13
 #: Share of a text's words (1 in 20) from which the whole text counts as contaminated.
 COVER = 20
-#: Words of test items in one automaton; that bounds what is broadcast. More items make more automata.
+#: Words of test items in one automaton; that bounds what is broadcast. More items make more passes.
 BLOCK_WORDS = 150_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -130,31 +136,20 @@ class SuffixAutomaton:
         return hit, items, longest
 
 
-def automata(spark: SparkSession, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcast automata, each over at most ``block_words`` words (and one item at least)."""
-    out, block, size = [], [], 0
+def automata(items: DataFrame, window: int = WINDOW, block_words: int | None = None) -> Iterator[SuffixAutomaton]:
+    """Automata one after another, each over at most ``block_words`` words (and one item at least)."""
+    most = BLOCK_WORDS if block_words is None else block_words
+    block, size = [], 0
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("text")).distinct()
     for item_id, text in rows.orderBy("item_id", "text").toLocalIterator():
         words = alnum_words(bytes(text))
-        if block and size + len(words) > block_words:
-            out.append(spark.sparkContext.broadcast(SuffixAutomaton(block, window)))
+        if block and size + len(words) > most:
+            yield SuffixAutomaton(block, window)
             block, size = [], 0
         block.append((item_id, words))
         size += len(words)
     if block:
-        out.append(spark.sparkContext.broadcast(SuffixAutomaton(block, window)))
-    return out
-
-
-def _scan_all(blocks: list, words: list[bytes]) -> tuple[bytearray, set, int]:
-    hit, items, longest = bytearray(len(words)), set(), 0
-    for b in blocks:
-        h, found, most = b.value.scan(words)
-        if found:
-            hit = bytearray(x | y for x, y in zip(hit, h)) if items else h
-            items |= found
-        longest = max(longest, most)
-    return hit, items, longest
+        yield SuffixAutomaton(block, window)
 
 
 def _spans(hit: bytearray) -> list[tuple[int, int]]:
@@ -182,26 +177,82 @@ REPORT = T.StructType(
 )
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int = COVER) -> DataFrame:
-    """One row per document row: hit words as spans, the items that occur, the longest match."""
-    blocks = automata(docs.sparkSession, items, window)
+_PART = "key binary, spans array<array<long>>, items array<string>, longest long"
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pass(shared: Broadcast):
+    """What one automaton finds in each text that shares a word with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                words = alnum_words(text.as_py())
-                hit, found, longest = _scan_all(blocks, words)
-                n = hit.count(1)
-                ids = sorted(x for x in found if x is not None)
-                rows.append((len(words), n, len(ids), ids, _spans(hit) if n else [], longest, n > 0 and cover * n >= len(words)))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, types))], names=REPORT.names
-            )
+            for key, text in zip(batch["key"], batch["text"]):
+                hit, found, longest = shared.value.scan(alnum_words(text.as_py()))
+                if longest:
+                    rows.append((key.as_py(), _spans(hit), list(found), longest))
+            types = [pa.binary(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.int64()]
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "spans", "items", "longest"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(scan, REPORT)
+    return run
+
+
+def _scanned(docs: DataFrame, text: str, items: DataFrame, window: int, block_words: int | None, use, schema) -> DataFrame:
+    """docs.mapInArrow(use(look), schema), where look(batch, i, words) gives hit words, items and the longest match of a row.
+
+    Column names are the caller's to keep apart from ``key``, ``spans``, ``items`` and ``longest``.
+    """
+    spark = docs.sparkSession
+    blocks = automata(items, window, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(first or SuffixAutomaton([], window))
+        return docs.mapInArrow(use(lambda batch, i, words: shared.value.scan(words)), schema)
+
+    folder = f"{shared_dir(spark)}/decontamination-{uuid.uuid4().hex}"
+    key = F.unhex(F.md5(text_bytes(text)))
+    texts = docs.select(key.alias("key"), text_bytes(text).alias("text"))
+    for block in itertools.chain([first, second], blocks):
+        shared = spark.sparkContext.broadcast(block)
+        texts.mapInArrow(_pass(shared), _PART).write.mode("append").parquet(f"{folder}/passes")
+        shared.destroy()
+    # equal texts have equal rows in a pass, which the sets keep once
+    found = spark.read.schema(_PART).parquet(f"{folder}/passes").groupBy("key").agg(
+        F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.max("longest").alias("longest")
+    )
+    found = stored(spark, found, folder, "found")
+    forget(spark, f"{folder}/passes")
+
+    def look(batch: pa.RecordBatch, i: int, words: list[bytes]) -> tuple[bytearray, set, int]:
+        hit = bytearray(len(words))
+        for a, b in batch["spans"][i].as_py() or []:
+            hit[a:b] = b"\1" * (b - a)
+        return hit, set(batch["items"][i].as_py() or []), batch["longest"][i].as_py() or 0
+
+    return docs.withColumn("key", key).join(found, "key", "left").drop("key").mapInArrow(use(look), schema)
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int = COVER, block_words: int | None = None) -> DataFrame:
+    """One row per document row: hit words as spans, the items that occur, the longest match."""
+
+    def use(look):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for i, text in enumerate(batch["body"]):
+                    words = alnum_words(text.as_py())
+                    hit, found, longest = look(batch, i, words)
+                    n = hit.count(1)
+                    ids = sorted(x for x in found if x is not None)
+                    rows.append((len(words), n, len(ids), ids, _spans(hit) if n else [], longest, n > 0 and cover * n >= len(words)))
+                cols = list(zip(*rows)) if rows else [()] * 7
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, types))], names=REPORT.names)
+
+        return scan
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
+    return _scanned(rows, "body", items, window, block_words, use, REPORT)
 
 
 def digest(report: DataFrame) -> DataFrame:
@@ -222,40 +273,43 @@ def without_spans(text: str, hit_spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int = COVER) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int = COVER, block_words: int | None = None) -> DataFrame:
     """The documents without contaminated ones (the coverage limit); from the others matching spans go (the length limit).
 
-    All columns stay as they are, but for the text of a document that loses a span and, where
-    there is one, its ``n_chars``.
+    All columns stay as they are, whatever they are called, but for the text of a document that loses a span and,
+    where there is one, its ``n_chars``. Null, empty and word-less texts stay, repeated rows fare alike, an empty
+    benchmark changes nothing, an empty table stays empty.
     """
-    blocks = automata(docs.sparkSession, items, window)
-    schema = docs.schema
-
-    def scrub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, new = [], {}
-            for i, text in enumerate(batch["text"]):
-                text = text.as_py()
-                words = alnum_words((text or "").encode())
-                hit, _, _ = _scan_all(blocks, words)
-                n = hit.count(1)
-                keep.append(not (n and cover * n >= len(words)))
-                if n and keep[-1]:
-                    new[i] = without_spans(text, _spans(hit))
-            if new:
-                texts = batch["text"].to_pylist()
-                for i, text in new.items():
-                    texts[i] = text
-                at = batch.schema.get_field_index("text")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                if (at := batch.schema.get_field_index("n_chars")) >= 0:
-                    sizes = batch["n_chars"].to_pylist()
-                    for i, text in new.items():
-                        sizes[i] = len(text)
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(scrub, schema)
+    names = [n.lower() for n in docs.columns]
+    plain = [f"c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(p, f.dataType, f.nullable) for p, f in zip(plain, docs.schema)])
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def use(look):
+        def scrub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep, new = [], {}
+                for i, text in enumerate(batch.column(at)):
+                    text = text.as_py()
+                    words = alnum_words((text or "").encode())
+                    hit, _, _ = look(batch, i, words)
+                    n = hit.count(1)
+                    keep.append(not (n and cover * n >= len(words)))
+                    if n and keep[-1]:
+                        new[i] = without_spans(text, _spans(hit))
+                out = batch.columns[: len(plain)]
+                if new:
+                    for column, value in ((at, lambda t: t), (size, len)):
+                        if column is not None:
+                            values = out[column].to_pylist()
+                            for i, text in new.items():
+                                values[i] = value(text)
+                            out[column] = pa.array(values, out[column].type)
+                yield pa.RecordBatch.from_arrays(out, names=plain).filter(pa.array(keep, pa.bool_()))
+
+        return scrub
+
+    return _scanned(docs.toDF(*plain), plain[at], items, window, block_words, use, schema).toDF(*docs.columns)
 
 
 def oracle(window: int = WINDOW, cover: int = COVER) -> str:

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from talkmill.llm import decontamination as d
-from talkmill.llm.common import alnum_words, sha256_hex
+from talkmill.llm.common import sha256_hex
 from tests.llm.oracle import same
 
 
@@ -64,10 +64,24 @@ def test_empty_tables_and_blocks(spark):
     assert d.contamination(docs, none).collect()[0].n_hit == 0
     assert d.contamination(docs.limit(0), none).count() == 0
     items = spark.createDataFrame([(1, "a b"), (2, "d"), (3, "c d")], "item_id long, text string")
-    assert len(d.automata(spark, items, 2, block_words=2)) == 3
-    blocks = d.automata(spark, items, 2, block_words=2)
-    hit, found, _ = d._scan_all(blocks, alnum_words(b"a b c d"))
-    assert list(hit) == [1, 1, 1, 1] and found == {"1", "2", "3"}
+    assert len(list(d.automata(items, 2, block_words=2))) == 3
+    r = d.contamination(docs, items, 2, block_words=2).first()
+    assert (r.n_hit, r.item_ids, r.word_spans, r.longest_match) == (4, ["1", "2", "3"], [[0, 4]], 2)
+
+
+def test_passes_of_many_blocks_give_what_one_does(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(6)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(60))) for _ in range(60)] + [None, "", "w1 w2"]
+    rows = [(i, t, "x", len(t or "")) for i, t in enumerate(texts)] + [(3, texts[3], "again", 1), (None, texts[5], "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, Spans string, n_chars long").repartition(3)
+    items = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(1, 9)))) for i in range(1, 30)] + [(None, "w1 w2 w3")], "item_id long, text string")
+    one = d.contamination(docs, items, 6)
+    many = d.contamination(docs, items, 6, block_words=20)
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    one, many = d.clean(docs, items, 6, cover=3), d.clean(docs, items, 6, cover=3, block_words=20)
+    assert one.columns == many.columns == docs.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and 0 < one.count() < len(rows)
 
 
 def test_equals_oracle(spark):
