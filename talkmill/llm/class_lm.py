@@ -13,9 +13,10 @@ bigrams are counted again over these classes. A text's probability is the produc
 both smoothed: transitions back off to the classes' shares, emissions add ``ADD`` to every count, with one
 more place per class for its unseen words, so each distribution sums to one.
 
-Word counts are kept for the whole vocabulary. Tasks hold those of the ``HOT`` most frequent words (of
-bounded length), which is a fixed bound; the counts of all rarer words are joined to the texts by a
-shuffle, with their classes. So no word is left out at any size.
+Word counts are kept for the whole vocabulary. Tasks hold those of the ``HOT`` most frequent words, which is a
+fixed bound, as a word of more than ``LONG`` bytes goes by a digest; the counts of all rarer words are joined to the
+texts by a shuffle, with their classes. So no word is left out at any size. What is gathered for a word from all
+tasks is added up row by row as it streams past, never collected.
 
 Defined cases: null and empty texts consist of their end alone; without training texts all counts are 0;
 repeated rows are scored each (and count each in training); a null doc_id hashes as the empty text; an
@@ -24,7 +25,9 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -32,21 +35,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blank_words, fold, shared_dir, stored, text_bytes
+from .common import blank_words, fold, forget, shared_dir, stored, text_bytes
 
 FREQUENT, BUCKETS, CLASSES = 1000, 200, 48
-HOT, HOT_BYTES = 100_000, 64
+HOT, LONG = 300_000, 64
 ADD = 0.5
 SWEEPS = 8
 #: A token that no word can be, as it is a blank.
 END = b"\n"
 _FLUSH = 500_000
+_RUN = re.compile(rb"[^\x20\x09-\x0D]{%d}" % (LONG + 1))
+#: What begins the digest of a long word, and the number of a hot one: bytes that no UTF-8 text holds.
+_DIGEST, _NUMBER = b"\xff", b"\xfe"
+
+
+def tokens(text: bytes) -> list[bytes]:
+    """The text's words, long ones by their digests."""
+    words = blank_words(text)
+    if _RUN.search(text):
+        words = [w if len(w) <= LONG else _DIGEST + hashlib.blake2b(w, digest_size=16).digest() for w in words]
+    return words
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +71,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for t in batch["text"]:
-            counts.update(blank_words(t.as_py()))
+            counts.update(tokens(t.as_py()))
             if len(counts) > _FLUSH:
                 yield out(counts)
                 counts = Counter()
@@ -80,56 +95,68 @@ class Units(dict):
         return self.own + self.buckets
 
 
-def _encode(hot: Broadcast):
-    """Texts as indexes of hot words, -1 for others, which stand beside them in order; the end of the text is index 0."""
+class _Index(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+def _encode(shared: Broadcast):
+    """Texts as indexes of hot words, -1 for others, which stand beside them in order with their units; the end of the
+    text is index 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = hot.value
+        words, units = shared.value
+        index = _Index((w, i) for i, w in enumerate(words))
+        unit = Units(units)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                ids, tails = [], []
+                ids, tails, ends = [], [], [0]
                 for t in part["text"]:
-                    words = blank_words(t.as_py())
-                    at = [index.get(w, -1) for w in words]
-                    tails.append([w for w, i in zip(words, at) if i < 0])
-                    ids.append(np.array([*at, 0], np.int32))
-                starts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    own = tokens(t.as_py())
+                    at = np.fromiter(map(index.__getitem__, own), np.int32, len(own))
+                    tails += [own[i] for i in np.flatnonzero(at < 0)]
+                    ends.append(len(tails))
+                    ids += [at, np.zeros(1, np.int32)]
+                starts = np.cumsum([0, *(len(x) + 1 for x in ids[::2])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays(
-                    [part["uid"], part["doc_id"], part["held_out"], ids, pa.array(tails, pa.list_(pa.binary()))],
-                    names=["uid", "doc_id", "held_out", "ids", "tail"],
-                )
+                ends = pa.array(np.array(ends, np.int32))
+                tail = pa.ListArray.from_arrays(ends, pa.array(tails, pa.binary()))
+                of = pa.ListArray.from_arrays(ends, pa.array(np.fromiter(map(unit.__getitem__, tails), np.int32, len(tails))))
+                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], part["held_out"], ids, tail, of], names=["uid", "doc_id", "held_out", "ids", "tail", "unit"])
 
     return run
 
 
-_CODED = "uid long, doc_id long, held_out boolean, ids array<int>, tail array<binary>"
+_CODED = "uid long, doc_id long, held_out boolean, ids array<int>, tail array<binary>, unit array<int>"
 
 
-def _sequence(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """The indexes of a batch one after another, where each text's begin, and the words at -1."""
+def _sequence(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The indexes of a batch one after another, and where each text's begin."""
     sizes = np.diff(batch["ids"].offsets.to_numpy())
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    return batch["ids"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), starts, batch["tail"].flatten().to_pylist()
+    return batch["ids"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), starts
 
 
-def _labelled(flat: np.ndarray, tail: list[bytes], of_hot: np.ndarray, of_word) -> np.ndarray:
+def _labelled(flat: np.ndarray, of_hot: np.ndarray, of_tail: np.ndarray) -> np.ndarray:
     out = of_hot[flat]
-    if tail:
-        out[flat < 0] = [of_word(w) for w in tail]
+    out[flat < 0] = of_tail
     return out
 
 
-def _count_pairs(of_hot: Broadcast, size: int, units: Broadcast | None):
-    """Pairs of units; of classes where there are no units, and then only of hot neighbours."""
+def _units(batch: pa.RecordBatch) -> np.ndarray:
+    return batch["unit"].flatten().to_numpy(zero_copy_only=False)
+
+
+def _count_pairs(of_hot: Broadcast, size: int, units: bool):
+    """Pairs of units; or of classes, and then only of hot neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         hot = of_hot.value
         for batch in batches:
-            flat, _, tail = _sequence(batch)
-            seq = _labelled(flat, tail, hot, units.value.__getitem__ if units else lambda w: -1)
+            flat, _ = _sequence(batch)
+            seq = _labelled(flat, hot, _units(batch) if units else -1)
             seq = np.concatenate([hot[:1], seq])
             a, b = seq[:-1], seq[1:]
             both = (a >= 0) & (b >= 0)
@@ -149,30 +176,30 @@ def _square(pairs: DataFrame, size: int) -> np.ndarray:
 
 
 def _neighbours(shared: Broadcast, k: int):
-    """Of each word but the frequent: how often each class stands before it (cells under k) and after it."""
+    """Of each word but the frequent: how often each class stands before it (cells under k) and after it. Hot words go by
+    their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own, unit_of, of = shared.value
-        first, keys, size, local = len(words), [], 0, {}
+        own, unit_of, of = shared.value
+        first, keys, size, local = len(unit_of), [], 0, {}
 
         def out() -> pa.RecordBatch:
             key, c = np.unique(np.concatenate(keys), return_counts=True)
             word = key // (2 * k)
             at = np.flatnonzero(np.diff(word, prepend=-1))
             rare = list(local)
-            names = [words[w] if w < first else rare[w - first] for w in word[at]]
+            names = [_NUMBER + int(w).to_bytes(4, "big") if w < first else rare[w - first] for w in word[at]]
             ends = pa.array(np.concatenate([at, [len(key)]]).astype(np.int32))
             cells = pa.ListArray.from_arrays(ends, pa.array((key % (2 * k)).astype(np.int32)))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), cells, pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int64)))], names=["word", "cell", "c"])
 
         for batch in batches:
-            flat, _, tail = _sequence(batch)
-            units = _labelled(flat, tail, unit_of, own.__getitem__)
+            flat, _ = _sequence(batch)
+            units = _labelled(flat, unit_of, _units(batch))
             cls = of[units]
             word = flat.copy()
-            if tail:
-                word[flat < 0] = [first + local.setdefault(w, len(local)) for w in tail]
-            at = np.flatnonzero(units >= own.own)
+            word[flat < 0] = [first + local.setdefault(w, len(local)) for w in batch["tail"].flatten().to_pylist()]
+            at = np.flatnonzero(units >= own)
             before = np.concatenate([of[unit_of[:1]], cls[:-1]])
             keys += [word[at] * (2 * k) + before[at], word[at] * (2 * k) + k + cls[at + 1]]  # a text's end follows every word
             size += 2 * len(at)
@@ -186,19 +213,39 @@ def _neighbours(shared: Broadcast, k: int):
 
 
 def _choose(pairs: np.ndarray):
-    """The class in which each word's neighbours are likeliest; class 0 is the end's alone."""
+    """The class in which each word's neighbours are likeliest; class 0 is the end's alone. Rows come sorted by word."""
     k = len(pairs)
     step, sums = transitions(pairs), pairs.sum(0)
 
+    def chosen(words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        gain = n[:, :k] @ step + n[:, k:] @ step.T - n[:, :k].sum(1)[:, None] * np.log10(np.maximum(sums, 1))[None, :]
+        gain[:, (sums == 0) | (np.arange(k) == 0)] = -np.inf
+        return pa.RecordBatch.from_arrays([words, pa.array(np.argmax(np.round(gain, 6), 1).astype(np.int64))], names=["word", "class"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # the last word so far and its sums
         for batch in batches:
-            cell, c = batch["parts"].flatten().flatten()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(batch["parts"].offsets.to_numpy()))
-            row = np.repeat(row, np.diff(cell.offsets.to_numpy()))
-            n = np.bincount(row * (2 * k) + cell.flatten().to_numpy(), c.flatten().to_numpy(), batch.num_rows * 2 * k).reshape(-1, 2 * k)
-            gain = n[:, :k] @ step + n[:, k:] @ step.T - n[:, :k].sum(1)[:, None] * np.log10(np.maximum(sums, 1))[None, :]
-            gain[:, (sums == 0) | (np.arange(k) == 0)] = -np.inf
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(np.argmax(np.round(gain, 6), 1).astype(np.int64))], names=["word", "class"])
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                words = part["word"]
+                new = np.ones(len(words), bool)
+                if len(words) > 1:
+                    new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+                word = np.cumsum(new) - 1
+                sizes = np.diff(part["cell"].offsets.to_numpy())
+                at = np.repeat(word, sizes) * (2 * k) + part["cell"].flatten().to_numpy()
+                n = np.bincount(at, part["c"].flatten().to_numpy(), (word[-1] + 1) * 2 * k).reshape(-1, 2 * k)
+                names = words.filter(pa.array(new))
+                if last is not None:
+                    if names[0].as_py() == last:
+                        n[0] += held
+                    else:
+                        yield chosen(pa.array([last], pa.binary()), held[None, :])
+                last, held = names[-1].as_py(), n[-1].copy()
+                if len(names) > 1:
+                    yield chosen(names.slice(0, len(names) - 1), n[:-1])
+        if last is not None:
+            yield chosen(pa.array([last], pa.binary()), held[None, :])
 
     return run
 
@@ -294,18 +341,17 @@ def _tails(shared: Broadcast):
     """One row for each word that is not hot, with the classes beside it (-1 where that isn't hot either)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, own, of = shared.value
+        cls, of = shared.value
         for batch in batches:
-            flat, starts, tail = _sequence(batch)
-            if not tail:
-                continue
+            flat, starts = _sequence(batch)
             at = np.flatnonzero(flat < 0)
+            if not len(at):
+                continue
             row = np.searchsorted(starts, at, side="right") - 1
-            seq = np.where(flat < 0, -1, cls[flat])
+            seq = _labelled(flat, cls, -1)
             before = np.concatenate([cls[:1], seq[:-1]])  # a text begins after an end
-            spare = of[[own[w] for w in tail]]
             yield pa.RecordBatch.from_arrays(
-                [batch["uid"].take(pa.array(row)), batch["held_out"].take(pa.array(row)), pa.array(at - starts[row]), pa.array(tail, pa.binary()), pa.array(before[at]), pa.array(seq[at + 1]), pa.array(spare)],
+                [batch["uid"].take(pa.array(row)), batch["held_out"].take(pa.array(row)), pa.array(at - starts[row]), batch["tail"].flatten(), pa.array(before[at]), pa.array(seq[at + 1]), pa.array(of[_units(batch)])],
                 names=["uid", "held_out", "pos", "word", "before", "after", "spare"],
             )
 
@@ -318,7 +364,7 @@ def _score(shared: Broadcast):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat, starts, _ = _sequence(batch)
+            flat, starts = _sequence(batch)
             hot = flat >= 0
             seq = np.concatenate([cls[:1], np.where(hot, cls[flat], -1)])
             both = (seq[:-1] >= 0) & (seq[1:] >= 0)
@@ -341,62 +387,64 @@ def scored(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, classes:
     texts = docs.filter(~held_out).select(text_bytes().alias("text"))
     counts = stored(spark, texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), folder, "counts")
     # Arrow tables, not rows: the bounded tables stay small in the driver too
-    best = lambda t: t.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(hot).toArrow()
-    top = best(counts)
-    tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    top = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()
+    tokens_, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     known = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
     known = {END: known.get(END, 0)} | known
     words = list(known)
     coded = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_bytes().alias("text"))
-    coded = stored(spark, coded.mapInArrow(_encode(share({w: i for i, w in enumerate(words)})), _CODED), folder, "coded")
+    units = Units(words[: frequent + 1])
+    coded = stored(spark, coded.mapInArrow(_encode(share((words, words[: frequent + 1]))), _CODED), folder, "coded")
     train = coded.filter("not held_out")
 
-    units = Units(words[: frequent + 1])
     unit_of = np.array([units[w] for w in words], np.int64)
-    n = _square(train.mapInArrow(_count_pairs(share(unit_of), units.size, share(units)), "pair long, c long"), units.size)
+    n = _square(train.mapInArrow(_count_pairs(share(unit_of), units.size, True), "pair long, c long"), units.size)
     of = exchange(n, units[END], classes)
     k = int(of.max()) + 1
     onehot = np.eye(k)[of]
 
     # every other word by its own neighbours
-    cells = train.mapInArrow(_neighbours(share((words, units, unit_of, of)), k), "word binary, cell array<int>, c array<long>")
-    cells = cells.groupBy("word").agg(F.collect_list(F.struct("cell", "c")).alias("parts"))
-    chosen = cells.mapInArrow(_choose(onehot.T @ n @ onehot), "word binary, class long")
-    own = spark.createDataFrame([(bytearray(w), int(of[u])) for w, u in units.items()], "word binary, class long")
-    vocabulary = stored(spark, counts.join(chosen.unionAll(own), "word", "left"), folder, "vocabulary")
-    at = best(vocabulary)
-    cls = dict(zip(at["word"].to_pylist(), at["class"].to_pylist())) | {END: int(of[0])}
-    cls = np.array([cls[w] for w in words], np.int64)
-    sums, places = np.zeros(k), np.ones(k)
+    cells = train.mapInArrow(_neighbours(share((units.own, unit_of, of)), k), "word binary, cell array<int>, c array<long>")
+    chosen = cells.repartition("word").sortWithinPartitions("word").mapInArrow(_choose(onehot.T @ n @ onehot), "word binary, class long")
+    chosen = stored(spark, chosen, folder, "chosen")
+    own = chosen.filter(F.substring("word", 1, 1) == F.lit(_NUMBER)).toArrow()  # hot ones only
+    cls = of[unit_of]
+    if own.num_rows:
+        cls[[int.from_bytes(w[1:], "big") for w in own["word"].to_pylist()]] = own["class"].to_numpy()
+    count = np.array(list(known.values()), np.float64)
+    sums = np.bincount(cls, count, minlength=k)
+    places = np.bincount(cls[count > 0], minlength=k) + 1.0
+    vocabulary = stored(spark, counts.join(chosen, "word"), folder, "vocabulary")  # all but the hot ones
     for r in vocabulary.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
-        sums[r["class"]] = r["c"]
+        sums[r["class"]] += r["c"]
         places[r["class"]] += r["n"]
 
     # class pairs of all words: those beside a word that is not hot by a join
-    rare = coded.mapInArrow(_tails(share((cls, units, of))), "uid long, held_out boolean, pos long, word binary, before long, after long, spare long")
+    rare = coded.mapInArrow(_tails(share((cls, of))), "uid long, held_out boolean, pos long, word binary, before long, after long, spare long")
     rare = rare.join(vocabulary, "word", "left").withColumn("class", F.coalesce("class", "spare"))
     last = F.lag("class").over(Window.partitionBy("uid").orderBy("pos"))
     left = F.when(F.col("before") < 0, last).otherwise(F.col("before")) * k + F.col("class")
     right = F.when(F.col("after") >= 0, F.col("class") * k + F.col("after"))
     rare = stored(spark, rare.select("uid", "held_out", "class", F.coalesce("c", F.lit(0)).alias("c"), left.alias("left"), right.alias("right")), folder, "rare")
     pairs = rare.filter("not held_out").select(F.explode(F.array("left", "right")).alias("pair"), F.lit(1).cast("long").alias("c")).filter("pair is not null")
-    pairs = _square(train.mapInArrow(_count_pairs(share(cls), k, None), "pair long, c long").unionAll(pairs), k)
+    pairs = _square(train.mapInArrow(_count_pairs(share(cls), k, False), "pair long, c long").unionAll(pairs), k)
 
-    model = Model(units, of, transitions(pairs), sums, places, tokens, types, known)
-    count = np.array(list(known.values()), np.float64)
+    model = Model(units, of, transitions(pairs), sums, places, tokens_, types, known)
     step = F.from_json(F.lit(str(model.step.ravel().tolist())), "array<double>")
     size = F.array(*(F.lit(float(s + ADD * p)) for s, p in zip(sums, places)))
+    for name in ("counts", "chosen", "vocabulary"):
+        forget(spark, f"{folder}/{name}")
     parts = coded.mapInArrow(_score(share((cls, model.emission(count, cls), model.base(count), count > 0, model.step))), _PARTS)
     found = rare.groupBy("uid").agg(
         F.sum(F.log10((F.col("c") + ADD) / F.get(size, F.col("class").cast("int"))) + F.get(step, F.col("left").cast("int")) + F.coalesce(F.get(step, F.col("right").cast("int")), F.lit(0.0))).alias("e"),
-        F.sum(F.log10((F.col("c") + 0.5) / F.lit(tokens + 0.5 * (types + 1)))).alias("b"),
+        F.sum(F.log10((F.col("c") + 0.5) / F.lit(tokens_ + 0.5 * (types + 1)))).alias("b"),
         F.count_if(F.col("c") > 0).alias("k"),
     )
     total = parts.join(found, "uid", "left")
     score = F.col("score") + F.coalesce("e", F.lit(0.0))
     return total.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
+        F.lit(tokens_).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), score.alias("score"),
         F.pow(F.lit(10.0), F.least(-score / F.col("n_tokens"), F.lit(300.0))).alias("perplexity"),
     )
@@ -406,7 +454,7 @@ _PARTS = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 
 def digest(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
-    return scored(docs, fold("doc_id", folds) == held).drop("perplexity")
+    return scored(docs, fold("doc_id", folds) == held)
 
 
 def base_score(counts: dict[bytes, int], words: list[bytes]) -> float:
