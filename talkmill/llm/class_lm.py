@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -51,7 +50,6 @@ SWEEPS = 8
 #: A token that no word can be, as it is a blank.
 END = b"\n"
 _FLUSH = 500_000
-_RUN = re.compile(rb"[^\x20\x09-\x0D]{%d}" % (LONG + 1))
 #: What begins the digest of a long word, and the number of a hot one: bytes that no UTF-8 text holds.
 _DIGEST, _NUMBER = b"\xff", b"\xfe"
 
@@ -59,7 +57,7 @@ _DIGEST, _NUMBER = b"\xff", b"\xfe"
 def tokens(text: bytes) -> list[bytes]:
     """The text's words, long ones by their digests."""
     words = blank_words(text)
-    if _RUN.search(text):
+    if max(map(len, words), default=0) > LONG:
         words = [w if len(w) <= LONG else _DIGEST + hashlib.blake2b(w, digest_size=16).digest() for w in words]
     return words
 
