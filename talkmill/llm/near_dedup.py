@@ -13,11 +13,13 @@
    then they leave the bucket. So edges are stars, a large
    group of near copies costs a star or two, rounds grow with the logarithm of the largest bucket,
    and no pair of a bucket goes untested unless it is in one component already. The sketch's bound lies
-   ``SIGMAS`` standard deviations under what a pair at the threshold shows.
-   Edges are confirmed on the full sets.
+   ``SIGMAS`` standard deviations under what a pair at the threshold shows, so it loses less than equal hashes of
+   different shingles do. Edges are confirmed on the full sets.
 4. Components are found by large-star / small-star steps over the links between components.
 
-All tables stay distributed; what rounds hand on is written to the shared folder.
+All tables stay distributed; what rounds hand on is written to the shared folder, and so is each bucket's or
+component's own row before its members are joined to it: then both sides of the join are plain exchanges, of which
+Spark splits the large ones, so one hot bucket or component is no single task.
 
 Defined cases: null, empty and word-less texts have empty sets, are linked with nothing and kept; texts of
 fewer words than a shingle are one shingle; a null doc_id can link others but never names a component
@@ -44,7 +46,7 @@ from .common import blank_words, forget, fresh, shared_dir, stored, text_bytes
 THRESHOLD = 80  # per cent
 BANDS, ROWS, SEED_BANDS = 40, 5, 4
 CENTRES, GROWTH = 16, 8
-SKETCH, SIGMAS = 512, 4.5
+SKETCH, SIGMAS = 512, 8.0
 _U = np.uint64
 
 
@@ -242,7 +244,7 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
         "classes",
     )
     every = classes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
-    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
+    shared = stored(spark, every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket"), folder, "buckets")
     found = stored(spark, every.join(shared, "bucket"), folder, "shared")
 
     # one text of each class that shares a bucket, by the text's own digest
@@ -252,7 +254,7 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
 
     # seed: one star in each bucket of a few bands
     seed = found.filter(F.col("band") < SEED_BANDS)
-    centre = seed.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c")).select("bucket", F.col("c.node").alias("c"), F.col("c.n").alias("c_n"))
+    centre = stored(spark, seed.groupBy("bucket").agg(F.min("node").alias("c"), F.min_by("n", "node").alias("c_n")), f"{folder}/seed", "centres")
     star = seed.join(centre, "bucket").filter((F.col("c") < F.col("node")) & _fits(threshold))
     edges = star.select(F.col("c").alias("a"), F.col("node").alias("b"), F.col("c").alias("a_comp"), F.col("node").alias("b_comp")).distinct()
     moves = [_linked(spark, edges, bodies, size, threshold, f"{folder}/seed")]
@@ -264,8 +266,8 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
         moved = members.join(moves[-1], "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
         members = stored(spark, moved, at, "members")
         most = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
-        most = most.agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("k")).filter("k > m.k")
-        most = most.select("bucket", F.col("m.comp").alias("main"), (F.col("k") - F.col("m.k")).alias("others"))
+        most = most.agg(F.max_by("comp", "k").alias("main"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
+        most = stored(spark, most, at, "most")
         live = stored(spark, members.join(most, "bucket").join(bodies.select("node", "bits", "small"), "node"), at, "live")
         if not live.count():
             break
@@ -291,11 +293,14 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
         nodes = nodes.join(move, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
     nodes = stored(spark, nodes, folder, "nodes")
     named = nodes.join(classes.select("node", "cid"), "node")
-    named = named.join(named.groupBy("comp").agg(F.min("cid").alias("component_id")), "comp").select("node", "comp", "component_id", F.lit(True).alias("linked"))
+    least = stored(spark, named.groupBy("comp").agg(F.min("cid").alias("component_id")), folder, "least")
+    named = named.join(least, "comp").select("node", "comp", "component_id", F.lit(True).alias("linked"))
     named = stored(spark, named, folder, "named")
     of = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("cid"))
     found = classes.select("fp", "node", "cid").join(named, "node", "left").select("fp", of.alias("component_id"), F.coalesce("comp", "node").alias("comp"))
-    forget(spark, f"{folder}/bodies")
+    # what the result is not read from
+    for name in ("bodies", "buckets", "shared", "seed", "nodes", "least", *(f"round-{k}" for k in range(1, step + 1))):
+        forget(spark, f"{folder}/{name}")
     return (
         signed.select("doc_id", F.col("n").alias("n_shingles"), "fp")
         .join(found, "fp", "left")
