@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near copies, benchmark passages, personal data, then the mixture.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. In every stage null, empty and very long texts are rows like any other, extra
+columns pass through under their names, whatever these are, repeated rows are told in the stage, and an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -15,27 +17,45 @@ from talkmill.llm.common import shared_dir, stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored like any other; repeated rows go or stay together; a score that ties with the cut stays.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words to a shingle, similarity 0.8)."""
+    """One document of each group of near copies stays (five words to a shingle, similarity 0.8): that of the smallest doc_id.
+
+    Null, empty and word-less texts have no copies and all stay; of repeated rows one stays; ties of the smallest doc_id
+    fall to one row; groups without any doc_id keep a row each.
+    """
     return near_dedup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; single passages are cut out of the others."""
+    """Contaminated documents go; single passages are cut out of the others.
+
+    Null and empty texts have no passages and stay; repeated rows fare alike; null and empty test items never occur.
+    """
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to the names of their kinds."""
+    """Personal data give way to the names of their kinds.
+
+    Null texts stay null, texts without personal data as they are; repeated rows fare alike; of overlapping spans the first
+    names the whole.
+    """
     return pii.redact(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated or thinned out to equal weights, and rows shuffled."""
+    """Sources are repeated or thinned out to equal weights, and rows shuffled.
+
+    Null and unlisted sources keep the rate 1; a null doc_id draws by its text; repeated rows draw alike; ``copy_no`` is added
+    (with underscores where the documents have one).
+    """
     return mixing.mix(docs)
 
 
