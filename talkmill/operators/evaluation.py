@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranking import placed
 
 EXACT, PARTIAL, NONE = "exact", "partial", "none"
 
@@ -79,30 +81,45 @@ def match_calls(expected: list[dict], actual: list[dict]) -> tuple[list[tuple[in
 MATCHES = "question_id long, kind string, expected_pos int, actual_pos int, name string"
 
 
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for question, expected, actual in zip(*(batch[c].to_pylist() for c in ("question_id", "expected", "actual"))):
+            want = [e | {"args": e["args"] or [], "depends": e["depends"] or [], "alternatives": e["alternatives"] or []} for e in expected or []]
+            done = [{"name": a["name"], "args": json.loads(a["args"]) if a["args"] else {}} for a in actual or []]
+            pairs, missed, extra = match_calls(want, done)
+            rows += [(question, "match", i, j, done[j]["name"]) for i, j in pairs]
+            rows += [(question, "missed", i, None, want[i]["name"]) for i in missed]
+            rows += [(question, "extra", None, j, done[j]["name"]) for j in extra]
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        cols = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["question_id", "kind", "expected_pos", "actual_pos", "name"])
+
+
 def matched(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """The matching of every question (a handful of calls each), one row per match, miss or extra call.
 
     expected: question_id, pos, id, name, optional, depends, alternatives, args; actual: question_id,
-    iteration, pos, name, args (JSON).
+    iteration, pos, name, args (JSON). Both sides become one array a question and meet once; the matching itself, greedy
+    and stateful, takes the questions in Arrow batches.
     """
+    want = F.array_sort(F.collect_list(F.struct("pos", "id", "name", "optional", "depends", "alternatives", "args")))
+    done = F.array_sort(F.collect_list(F.struct("iteration", "pos", "name", "args")))
+    e = expected.groupBy(F.col("question_id").cast("bigint").alias("question_id")).agg(want.alias("expected"))
+    a = actual.groupBy(F.col("question_id").cast("bigint").alias("question_id")).agg(done.alias("actual"))
+    return e.join(a, "question_id", "full_outer").mapInArrow(_matched, MATCHES)
+
+
+def parameter_matches(calls: DataFrame) -> DataFrame:
+    """Whether each call's arguments are as expected: the calls with ``fits``. calls: call_id, args (JSON) and expected
+    (array<struct<key, value, match, optional>>)."""
 
-    def one(key: tuple, e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        e, a = e.sort_values("pos"), a.sort_values(["iteration", "pos"])
-        want = [
-            {"id": r.id, "name": r.name_, "optional": bool(r.optional), "depends": list(r.depends) if r.depends is not None else [],
-             "alternatives": [list(g) for g in r.alternatives] if r.alternatives is not None else [],
-             "args": [x if isinstance(x, dict) else x.asDict() for x in (r.args if r.args is not None else [])]}
-            for r in e.rename(columns={"name": "name_"}).itertuples()
-        ]
-        done = [{"name": n, "args": json.loads(x) if x else {}} for n, x in zip(a["name"], a["args"])]
-        pairs, missed, extra = match_calls(want, done)
-        rows = [("match", i, j, done[j]["name"]) for i, j in pairs]
-        rows += [("missed", i, None, want[i]["name"]) for i in missed] + [("extra", None, j, done[j]["name"]) for j in extra]
-        out = pd.DataFrame(rows, columns=["kind", "expected_pos", "actual_pos", "name"])
-        out.insert(0, "question_id", key[0])
-        return out.astype({"expected_pos": "Int32", "actual_pos": "Int32"})
-
-    return expected.groupBy("question_id").cogroup(actual.groupBy("question_id")).applyInPandas(one, MATCHES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [arguments_match(json.loads(a) if a else {}, e or []) for a, e in zip(batch["args"].to_pylist(), batch["expected"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["call_id"], pa.array(fits, pa.bool_())], names=["call_id", "fits"])
+
+    return calls.select(F.col("call_id").cast("bigint").alias("call_id"), "args", "expected").mapInArrow(run, "call_id long, fits boolean")
 
 
 def agent_metrics(metrics: DataFrame, *keys: str) -> DataFrame:
@@ -127,14 +144,14 @@ def question_tokens(messages: DataFrame) -> DataFrame:
     )
 
 
-def summary(results: DataFrame, questions: int | None = None) -> DataFrame:
-    """Correct (nothing missed) and perfect (nothing extra either) answers, sums and mean score by run.
+def summary(results: DataFrame, *keys: str, questions: int | None = None) -> DataFrame:
+    """Correct (nothing missed) and perfect (nothing extra either) answers, sums and mean score by run (and further keys).
 
     results: method, model, missed, extra, tokens, time, server_time, score. ``questions`` is the size of the question
     set where that is more than the results.
     """
     n = F.count(F.lit(1))
-    return results.groupBy("method", "model").agg(
+    return results.groupBy(*keys, "method", "model").agg(
         (n if questions is None else F.lit(questions).cast("bigint")).alias("questions"),
         F.count_if(F.col("missed") == 0).alias("correct"), F.count_if((F.col("missed") == 0) & (F.col("extra") == 0)).alias("perfect"),
         F.sum("tokens").alias("tokens"), F.sum("time").alias("time"), F.sum("server_time").alias("server_time"),
@@ -142,9 +159,9 @@ def summary(results: DataFrame, questions: int | None = None) -> DataFrame:
     )
 
 
-def agent_time(results: DataFrame) -> DataFrame:
+def agent_time(results: DataFrame, *keys: str) -> DataFrame:
     """Time by run and agent; agents whose sum is not positive are left out. results: method, model, agent, time."""
-    return results.groupBy("method", "model", "agent").agg(F.sum("time").alias("time")).filter("time > 0")
+    return results.groupBy(*keys, "method", "model", "agent").agg(F.sum("time").alias("time")).filter("time > 0")
 
 
 def compared(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -173,14 +190,32 @@ def agent_differences(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def chunked(questions: DataFrame, n: int, group: str) -> DataFrame:
-    """Near-equal contiguous chunks (from 0) of each group's questions by ``pos``; the first get one more."""
-    return questions.withColumn("chunk", F.ntile(n).over(Window.partitionBy(group).orderBy("pos")) - 1)
+    """Near-equal contiguous chunks (from 0) of each group's questions by ``pos``, a number; the first get one more."""
+    sizes = questions.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_size"))
+    rows = placed(questions, "pos", group, name="_place").join(sizes, F.col(group).eqNullSafe(F.col("_group")))
+    each, more = F.floor(F.col("_size") / n), F.col("_size") % n
+    # chunks 0 .. more - 1 hold each + 1 questions
+    large = F.floor(F.col("_place") / (each + 1))
+    small = more + F.floor((F.col("_place") - more * (each + 1)) / F.greatest(each, F.lit(1)))
+    return rows.select(*questions.columns, F.when(F.col("_place") < more * (each + 1), large).otherwise(small).cast("bigint").alias("chunk"))
+
 
+def portion(questions: DataFrame, percent: float, seed: int, key: str) -> DataFrame:
+    """Exactly int(n * percent / 100) questions at random, the same for a seed: those whose key's hash is smallest.
 
-def portion(questions: DataFrame, percent: float, seed: int) -> DataFrame:
-    """Exactly int(n * percent / 100) questions at random, the same for a seed."""
-    k = int(questions.count() * percent / 100)
-    return questions.orderBy(F.xxhash64(F.lit(seed), *questions.columns)).limit(k)
+    A histogram of the hashes' first digits (65,536 bins at most reach the driver) tells in which bin the last one lies;
+    only that bin is sorted.
+    """
+    rows = questions.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("_bin", F.substring("_hash", 1, 4))
+    bins = sorted((r["_bin"], r["count"]) for r in rows.groupBy("_bin").count().collect())
+    left = int(sum(n for _, n in bins) * percent / 100)
+    border = ""
+    for border, n in bins:
+        if left <= n:
+            break
+        left -= n
+    own = rows.filter(F.col("_bin") == border).orderBy("_hash").limit(left)
+    return rows.filter(F.col("_bin") < border).unionByName(own).select(questions.columns)
 
 
 def calls_by_iteration(calls: DataFrame) -> DataFrame:

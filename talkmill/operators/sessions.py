@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from pyspark.sql.window import Window
 
+from .ranking import placed
+
 #: Seconds a session lives after it was last seen.
 LIFETIME = 30 * 24 * 3600
 #: 2100-01-01 00:00 UTC, until when users' own sessions are valid.
@@ -77,12 +79,12 @@ def numbered_tasks(tasks: DataFrame, last: DataFrame) -> DataFrame:
 
 
 def upsert_at_place(old: DataFrame, new: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:
-    """Rows replaced where they stand; new keys go to the end."""
+    """Rows replaced where they stand; new ones go to the end in the order of their keys."""
     kept = old.join(new.select(key), key, "left_anti")
     changed = new.join(old.select(key, pos), key)
-    top = old.agg(F.coalesce(F.max(pos), F.lit(-1)).alias("_top"))
-    order = F.row_number().over(Window.orderBy(key))  # what a user saves at once
-    fresh = new.join(old.select(key), key, "left_anti").withColumn("_n", order).crossJoin(top).withColumn(pos, (F.col("_top") + F.col("_n")).cast(old.schema[pos].dataType)).drop("_top", "_n")
+    top = old.agg(F.coalesce(F.max(pos), F.lit(-1)).alias("_top"))  # one row
+    added = placed(new.join(old.select(key), key, "left_anti"), key, name="_n")
+    fresh = added.crossJoin(top).withColumn(pos, (F.col("_top") + 1 + F.col("_n")).cast(old.schema[pos].dataType)).drop("_top", "_n")
     return kept.unionByName(changed.select(old.columns)).unionByName(fresh.select(old.columns))
 
 

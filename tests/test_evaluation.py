@@ -2,6 +2,7 @@ import json
 import random
 
 from talkmill.operators import evaluation as ev
+from talkmill.operators.ranking import placed
 
 
 def slow_match(expected, actual):
@@ -89,7 +90,27 @@ def test_comparison_leaves_out_zero_scores(spark):
 
 def test_portion_is_exact_and_repeats(spark):
     q = spark.range(41)
-    assert ev.portion(q, 30, 1).count() == 12
-    assert sorted(ev.portion(q, 30, 1).collect()) == sorted(ev.portion(q.repartition(3), 30, 1).collect())
+    for percent, n in ((30, 12), (0, 0), (100, 41), (1, 0)):
+        assert ev.portion(q, percent, 1, "id").count() == n
+    assert sorted(ev.portion(q, 30, 1, "id").collect()) == sorted(ev.portion(q.repartition(3), 30, 1, "id").collect())
+    assert ev.portion(q.limit(0), 30, 1, "id").count() == 0
     sizes = [r["count"] for r in ev.chunked(q.selectExpr("id AS pos", "1 AS g"), 5, "g").groupBy("chunk").count().orderBy("chunk").collect()]
     assert sizes == [9, 8, 8, 8, 8]
+
+
+def test_places_of_large_and_small_groups(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("aaab") if i % 50 else None, x) for i, x in enumerate(rng.sample(range(-5000, 5000), 3000))] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, x int").repartition(5)
+    got = {(r.g, r.x): r.place for r in placed(df, "x", "g", name="place", ranges=16).collect()}
+    for g in ("a", "b", "c", None):
+        mine = sorted((x for k, x in rows if k == g), key=lambda x: (x is not None, x))
+        assert [got[g, x] for x in mine] == list(range(len(mine)))
+    assert sorted(r.place for r in placed(df.filter("x is not null"), "x", name="place").collect()) == list(range(3000))
+    assert placed(df.limit(0), "x", name="place").count() == 0
+    texts = df.filter("x is not null").selectExpr("concat(coalesce(g, 'é'), repeat('~', abs(x) % 4), hex(x)) AS t").distinct()
+    assert [r.t for r in placed(texts, "t", name="place", ranges=16).orderBy("place").collect()] == sorted((r.t for r in texts.collect()), key=str.encode)
+    for n in (1, 7, 4000):
+        sizes = [r["count"] for r in ev.chunked(df.filter("g = 'a'").withColumnRenamed("x", "pos"), n, "g").groupBy("chunk").count().orderBy("chunk").collect()]
+        total = sum(sizes)
+        assert sizes == [total // n + (i < total % n) for i in range(min(n, total))]
