@@ -44,12 +44,12 @@ from pyspark.sql.window import Window
 from .common import blank_words, fold, forget, shared_dir, stored, text_bytes
 
 FREQUENT, BUCKETS, CLASSES = 1000, 200, 48
-HOT, LONG = 300_000, 64
+HOT, LONG = 150_000, 64
 ADD = 0.5
 SWEEPS = 8
 #: A token that no word can be, as it is a blank.
 END = b"\n"
-_FLUSH = 500_000
+_FLUSH = 300_000
 #: What begins the digest of a long word, and the number of a hot one: bytes that no UTF-8 text holds.
 _DIGEST, _NUMBER = b"\xff", b"\xfe"
 
@@ -201,7 +201,7 @@ def _neighbours(shared: Broadcast, k: int):
             before = np.concatenate([of[unit_of[:1]], cls[:-1]])
             keys += [word[at] * (2 * k) + before[at], word[at] * (2 * k) + k + cls[at + 1]]  # a text's end follows every word
             size += 2 * len(at)
-            if size > 3_000_000:
+            if size > 1_000_000:
                 yield out()
                 keys, size, local = [], 0, {}
         if size:
