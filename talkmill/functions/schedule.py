@@ -82,3 +82,9 @@ def parsed_time(s: Column) -> Column:
 def local_text(t: Column, zone: str, layout: str = "EEEE, yyyy-MM-dd HH:mm:ss") -> Column:
     """A UTC moment as text of a time zone."""
     return F.date_format(F.from_utc_timestamp(t, zone), layout)
+
+
+def time_and_place(t: Column, zone: str, place: Column) -> Column:
+    """The sentence that tells a model the time, and the place where one is given."""
+    now = F.concat(F.lit("The current date and time is "), local_text(t, zone, "MMMM dd yyyy, HH:mm"))
+    return F.concat(now, F.coalesce(F.concat(F.lit(". You are located at "), F.nullif(place, F.lit(""))), F.lit("")), F.lit("."))

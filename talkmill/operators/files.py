@@ -28,6 +28,21 @@ def first_uploads(uploads: DataFrame) -> DataFrame:
     return first.select(*keys, "first.*").select(*uploads.columns)
 
 
+def downloaded(answers: DataFrame, *keys: str) -> DataFrame:
+    """What downloads bring: ok, file_name and body, or the error. answers: url, status, content_type, body and the keys.
+
+    Fetching is the caller's; an address that is none of the web, no answer and a status of 400 or more are errors.
+    """
+    error = (
+        F.when(~tx.is_web_address(F.col("url")), "not a web address").when(F.col("status").isNull(), "no answer")
+        .when(F.col("status") >= 400, F.concat(F.lit("status "), F.col("status").cast("string")))
+    )
+    good = lambda c: F.when(error.isNull(), c)
+    return answers.select(
+        *keys, "url", error.isNull().alias("ok"), good(tx.file_name(F.col("url"), F.col("content_type"))).alias("file_name"), error.alias("error"), good(F.col("body")).alias("body")
+    )
+
+
 def unsent(files: DataFrame, active: DataFrame, host: str) -> DataFrame:
     """Active files that the host does not have; other kinds than PDFs and images are skipped.
 

@@ -119,3 +119,11 @@ def gather_user_info(state: dict) -> DataFrame:
     from talkmill.operators import conversations
 
     return conversations.transcripts(state["messages"])
+
+
+@tools.add("Files", "ReadFileFromUrl")
+def read_file_from_url(state: dict, url: str) -> DataFrame:
+    """What the download of an address brought: a file for the model, or why there is none."""
+    from talkmill.operators import files
+
+    return files.downloaded(state["downloads"].filter(F.col("url") == url))

@@ -122,9 +122,12 @@ def local_date(spark, sf):
     return load(spark, sf, "events").select("event_id", sc.local_text(F.col("ts").cast("timestamp"), "Europe/Berlin", "dd.MM.yyyy HH:mm:ss").alias("text"))
 
 
-@query("x27_current_time")
+@query("x27_current_time", "SELECT event_id, 'The current date and time is ' || strftime(ts + INTERVAL 1 HOUR, '%B %d %Y, %H:%M') || CASE WHEN event_id % 2 = 0 THEN '. You are located at Hall ' || event_id % 5 || '.' ELSE '.' END AS text FROM events")
 def current_time(spark, sf):
-    return spark.range(1).select(sc.local_text(F.current_timestamp(), "Europe/Berlin").alias("now"))
+    """Of the clock and the place that each row gives."""
+    e = load(spark, sf, "events")
+    place = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Hall "), (F.col("event_id") % 5).cast("string")))
+    return e.select("event_id", sc.time_and_place(F.col("ts").cast("timestamp"), "Europe/Berlin", place).alias("text"))
 
 
 @query("x12_last_expression", "SELECT event_id, 'a = ' || event_id || chr(10) || '_result = a + 1' AS code FROM events")
@@ -133,7 +136,7 @@ def last_expression(spark, sf):
     return load(spark, sf, "events").select("event_id", files.returning(code).alias("code"))
 
 
-@query("x18_pretty_json")
+@query("x18_pretty_json", "SELECT event_id, '{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS text FROM events")
 def pretty(spark, sf):
     return load(spark, sf, "events").select("event_id", tx.pretty_json(F.col("props")).alias("text"))
 

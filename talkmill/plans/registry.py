@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, conversations, evaluation, files, prompts, scheduling, sessions, streams  # noqa: F401
+from . import catalogue, conversations, evaluation, files, prompts, scheduling, sessions, sources, streams  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

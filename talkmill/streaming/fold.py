@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from talkmill.operators import evaluation
 
@@ -121,6 +122,65 @@ def replayed(responses: DataFrame) -> DataFrame:
 _FIELDS = [("id", "string"), ("agent", "string"), ("chunk", "string"), ("is_output", "boolean"), ("name", "string"), ("args", "string"), ("result", "string"), ("input_tokens", "bigint"), ("total_tokens", "bigint"), ("execution_time", "double")]
 
 
+#: The types of a model's events; ``ABORTED`` is the user's.
+DELTA, COMPLETED, FAILED, ABORTED = "response.output_text.delta", "response.completed", "response.failed", "aborted"
+
+
+def _until_end(events: DataFrame) -> DataFrame:
+    """The events before each message's end, which its first failed or aborted one is, and that one's seq as ``_end``.
+
+    A message that only wants tool calls stops at its first text, before anything of it counts.
+    """
+    ends = _is(FAILED, ABORTED) | (_is(DELTA) & F.coalesce("tools_only", F.lit(False)))
+    end = events.groupBy("chat_id", "message_id").agg(F.min(F.when(ends, F.col("seq"))).alias("_end"))
+    return events.join(end, ["chat_id", "message_id"]).filter("_end IS NULL OR seq <= _end")
+
+
+def model_messages(events: DataFrame) -> DataFrame:
+    """What a model's events make of each message: its text, state, error, token usage and time.
+
+    events: chat_id, message_id, agent, seq, at (timestamp), type, delta, tools_only, calls (array<struct<name, arguments>>),
+    usage (map<string, bigint>), error (struct<code, message>), wants (array<string>, the fields of a structured reply, or null).
+    state: completed, failed, aborted, stopped (at a text where only tools were wanted), unparsable (a structured
+    reply that is no JSON object with its fields), or open.
+    """
+    e = _until_end(events)
+    before = F.col("_end").isNull() | (F.col("seq") < F.col("_end"))
+    parts = F.array_sort(F.collect_list(F.when(before & _is(DELTA), F.struct("seq", F.coalesce("delta", F.lit("")).alias("d")))))
+    last = F.when(before & _is(COMPLETED), F.col("seq"))
+    ended = F.max_by("type", F.when(F.col("seq") == F.col("_end"), F.col("seq")))
+    m = e.groupBy("chat_id", "message_id").agg(
+        F.min_by("agent", "seq").alias("agent"), F.array_join(F.transform(parts, lambda p: p["d"]), "").alias("content"), ended.alias("_ended"),
+        F.max_by("error", F.when(_is(FAILED), F.col("seq"))).alias("_error"), F.max(last).alias("_done"), F.max_by("usage", last).alias("usage"), F.max_by("wants", last).alias("_wants"),
+        ((F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / F.lit(1e6)).alias("execution_time"),
+    )
+    fields = F.coalesce(F.json_object_keys("content"), F.array().cast("array<string>"))
+    fits = F.col("_wants").isNull() | (F.try_parse_json("content").isNotNull() & (F.size(F.array_except("_wants", fields)) == 0))
+    state = (
+        F.when(F.col("_ended") == FAILED, "failed").when(F.col("_ended") == ABORTED, "aborted").when(F.col("_ended") == DELTA, "stopped")
+        .when(F.col("_done").isNull(), "open").when(~fits, "unparsable").otherwise("completed")
+    )
+    error = F.when(state == "failed", F.concat_ws(": ", "_error.code", "_error.message"))
+    return m.select("chat_id", "message_id", "agent", "content", state.alias("state"), error.alias("error"), "usage", "execution_time")
+
+
+def model_calls(events: DataFrame) -> DataFrame:
+    """The tool calls of completed events: tool_id (numbered through the chat's messages), name and args.
+
+    Calls without a name are passed over; arguments that are no JSON become an empty object.
+    """
+    e = _until_end(events).filter(_is(COMPLETED) & (F.col("_end").isNull() | (F.col("seq") < F.col("_end"))))
+    calls = e.select("chat_id", "message_id", "agent", "seq", F.posexplode("calls").alias("pos", "c")).filter("c.name IS NOT NULL")
+    n = F.row_number().over(Window.partitionBy("chat_id").orderBy("seq", "pos")) - 1
+    args = F.when(F.try_parse_json("c.arguments").isNotNull(), F.col("c.arguments")).otherwise("{}")
+    return calls.select("chat_id", "message_id", "agent", F.concat_ws("/", "message_id", n.cast("string")).alias("tool_id"), F.col("c.name").alias("name"), args.alias("args"))
+
+
+def inbound(spark: SparkSession, folder: str, schema: str = SCHEMA) -> DataFrame:
+    """The messages that arrive as JSON lines in a folder, as a stream."""
+    return spark.readStream.schema(schema).json(folder)
+
+
 def outbox(folder: str) -> Callable[[DataFrame, int], None]:
     """A sink for ``foreachBatch`` that keeps each micro-batch in a folder of its own: one that is sent again
     overwrites itself, so with the stream's checkpoint every message arrives once, tagged by its type."""
@@ -131,6 +191,21 @@ def outbox(folder: str) -> Callable[[DataFrame, int], None]:
     return send
 
 
+def latest(folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that keeps the last micro-batch only, as complete outputs want it."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    return keep
+
+
+def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Runs a stream into a sink until all that is there has passed; called again it goes on where it stopped."""
+    q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def persist_every(state: DataFrame, folder: str, checkpoint: str, seconds: int = 60):
     """Starts the periodic write of a stream's state (expired rows are for the caller to filter)."""
     return state.writeStream.outputMode("update").foreachBatch(outbox(folder)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
