@@ -49,7 +49,7 @@ ADD = 0.5
 SWEEPS = 8
 #: A token that no word can be, as it is a blank.
 END = b"\n"
-_FLUSH = 300_000
+_FLUSH, _PIECE = 300_000, 300_000
 #: What begins the digest of a long word, and the number of a hot one: bytes that no UTF-8 text holds.
 _DIGEST, _NUMBER = b"\xff", b"\xfe"
 
@@ -129,6 +129,16 @@ def _encode(shared: Broadcast):
 _CODED = "uid long, doc_id long, held_out boolean, ids array<int>, tail array<binary>, unit array<int>"
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Coded texts in pieces of about ``_PIECE`` tokens, or of one text: what bounds the memory of the arrays made of them."""
+    for batch in batches:
+        ends, a = batch["ids"].offsets.to_numpy(), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + _PIECE, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _sequence(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The indexes of a batch one after another, and where each text's begin."""
     sizes = np.diff(batch["ids"].offsets.to_numpy())
@@ -152,7 +162,7 @@ def _count_pairs(of_hot: Broadcast, size: int, units: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         hot = of_hot.value
-        for batch in batches:
+        for batch in _pieces(batches):
             flat, _ = _sequence(batch)
             seq = _labelled(flat, hot, _units(batch) if units else -1)
             seq = np.concatenate([hot[:1], seq])
@@ -191,7 +201,7 @@ def _neighbours(shared: Broadcast, k: int):
             cells = pa.ListArray.from_arrays(ends, pa.array((key % (2 * k)).astype(np.int32)))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), cells, pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int64)))], names=["word", "cell", "c"])
 
-        for batch in batches:
+        for batch in _pieces(batches):
             flat, _ = _sequence(batch)
             units = _labelled(flat, unit_of, _units(batch))
             cls = of[units]
@@ -340,7 +350,7 @@ def _tails(shared: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, of = shared.value
-        for batch in batches:
+        for batch in _pieces(batches):
             flat, starts = _sequence(batch)
             at = np.flatnonzero(flat < 0)
             if not len(at):
@@ -359,9 +369,7 @@ def _tails(shared: Broadcast):
 def _score(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, emit, base, seen, step = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             flat, starts = _sequence(batch)
             hot = flat >= 0
             seq = np.concatenate([cls[:1], np.where(hot, cls[flat], -1)])
