@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The first letters of the weekdays, from Monday.
 DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+#: Fixed value: how tasks store a time.
 FORMAT = "MMM dd yyyy HH:mm"
 
 

@@ -67,10 +67,14 @@ def capped(tools: DataFrame, most: int = MAX_TOOLS) -> DataFrame:
     return tools.orderBy("source_rank", "pos").limit(most)
 
 
+#: Fixed value: the warning, by how many tools there are and may be.
+_WARNING = "WARNING: Your number of tools (%d) exceeds the maximum tool limit of {most}. All tools after index {most} will be ignored!\n"
+
+
 def cap_warning(tools: DataFrame, most: int = MAX_TOOLS) -> DataFrame:
     """One row with a warning where there are more tools than may be used."""
     n = tools.agg(F.count(F.lit(1)).alias("n"))
-    text = F.format_string(f"WARNING: Your number of tools (%d) exceeds the maximum tool limit of {most}. All tools after index {most} will be ignored!\n", F.col("n"))
+    text = F.format_string(_WARNING.format(most=most), F.col("n"))
     return n.select("n", F.when(F.col("n") > most, text).otherwise("").alias("warning"))
 
 
@@ -203,6 +207,12 @@ def first_approval(tools: DataFrame, approvals: DataFrame) -> DataFrame:
     return tools.join(first, "tool_name", "left").withColumn("approval", F.coalesce("approval", F.lit("allow")))
 
 
+#: What stands before and after the name of an agent that does not exist, and who gets its task.
+_ASSIGNED = "You have been given a task which was assigned to the agent "
+_MISSING = ". This agent does not exist however. Check if the task could be solved by the current environment. This was the original task:\n\n"
+_GENERAL = "GeneralAgent"
+
+
 def planned_agents(tasks: DataFrame, agents: DataFrame, most: int = 1000) -> DataFrame:
     """The first agent whose name is part of the task's agent name, else the general agent with a reworded task.
 
@@ -214,11 +224,8 @@ def planned_agents(tasks: DataFrame, agents: DataFrame, most: int = 1000) -> Dat
         raise ValueError(f"more than {most} agents")
     names = F.array(*(F.lit(r["name"]) for r in rows)).cast("array<string>")
     found = F.get(F.filter(names, lambda n: F.contains(F.col("agent"), n)), F.lit(0))
-    note = F.concat(
-        F.lit("You have been given a task which was assigned to the agent "), "agent",
-        F.lit(". This agent does not exist however. Check if the task could be solved by the current environment. This was the original task:\n\n"), "task",
-    )
-    return tasks.select("plan_id", "pos", F.coalesce(found, F.lit("GeneralAgent")).alias("agent"), F.when(found.isNotNull(), F.col("task")).otherwise(note).alias("task"))
+    note = F.concat(F.lit(_ASSIGNED), "agent", F.lit(_MISSING), "task")
+    return tasks.select("plan_id", "pos", F.coalesce(found, F.lit(_GENERAL)).alias("agent"), F.when(found.isNotNull(), F.col("task")).otherwise(note).alias("task"))
 
 
 def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:

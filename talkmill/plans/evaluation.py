@@ -124,11 +124,11 @@ def expected_order(spark, sf):
     return calls.select("question_id", "pos", F.row_number().over(w).cast("bigint").alias("rank"))
 
 
-@query("u4_question_union", "SELECT item_id, 'simple' AS set FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 'complex' FROM benchmark WHERE item_id % 3 = 0")
+@query("u4_question_union", "SELECT item_id, 'simple' AS set FROM benchmark UNION ALL SELECT item_id, 'complex' FROM benchmark WHERE length(text) > 120")
 def question_union(spark, sf):
+    """All questions one set after the other; long ones are of both."""
     b = load(spark, sf, "benchmark")
-    part = lambda n, name: b.filter(F.col("item_id") % n == 0).select("item_id", F.lit(name).alias("set"))
-    return part(2, "simple").unionAll(part(3, "complex"))
+    return b.select("item_id", F.lit("simple").alias("set")).unionAll(b.filter(F.length("text") > 120).select("item_id", F.lit("complex").alias("set")))
 
 
 @query("u5_multiset_difference", "SELECT source, lang FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT source, lang FROM documents WHERE doc_id % 2 = 1")

@@ -99,29 +99,29 @@ def task_ids(spark, sf):
     return ops.numbered_tasks(t, last).select("event_id", "session_id", "task_id")
 
 
-_SETS = "e AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS s FROM events WHERE event_id % 4 < 2 GROUP BY ALL)"
+_SETS = "e AS (SELECT user_id, event_id % 7 AS part, list_sort(list(DISTINCT event_type)) AS s FROM events GROUP BY ALL)"
 
 
 def _sets(spark, sf):
-    return load(spark, sf, "events").filter("event_id % 4 < 2").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("s"))
+    return load(spark, sf, "events").groupBy("user_id", (F.col("event_id") % 7).alias("part")).agg(F.array_sort(F.collect_set("event_type")).alias("s"))
 
 
-@query("u1_toggled_files", f"WITH {_SETS} SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(s, lambda x: x <> 'click' AND x <> 'view'), ['view', 'new']))), ',') AS active FROM e")
+@query("u1_toggled_files", f"WITH {_SETS} SELECT user_id, part, array_to_string(list_sort(list_distinct(list_concat(list_filter(s, lambda x: x <> 'click' AND x <> 'view'), ['view', 'new']))), ',') AS active FROM e")
 def toggled(spark, sf):
     lit = lambda *x: F.array(*map(F.lit, x))
     out = ops.toggled(F.col("s"), lit("click", "view"), lit("view", "new"))
-    return _sets(spark, sf).select("user_id", F.array_join(F.array_sort(out), ",").alias("active"))
+    return _sets(spark, sf).select("user_id", "part", F.array_join(F.array_sort(out), ",").alias("active"))
 
 
-@query("u2_added_files", f"WITH {_SETS} SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(s, ['new', 'new', 'view']))), ',') AS active FROM e")
+@query("u2_added_files", f"WITH {_SETS} SELECT user_id, part, array_to_string(list_sort(list_distinct(list_concat(s, ['new', 'new', 'view']))), ',') AS active FROM e")
 def added(spark, sf):
     out = F.array_union("s", F.array(F.lit("new"), F.lit("new"), F.lit("view")))
-    return _sets(spark, sf).select("user_id", F.array_join(F.array_sort(out), ",").alias("active"))
+    return _sets(spark, sf).select("user_id", "part", F.array_join(F.array_sort(out), ",").alias("active"))
 
 
-@query("u6_removed_file", f"WITH {_SETS} SELECT user_id, array_to_string(list_filter(s, lambda x: x <> 'click'), ',') AS active FROM e")
+@query("u6_removed_file", f"WITH {_SETS} SELECT user_id, part, array_to_string(list_filter(s, lambda x: x <> 'click'), ',') AS active FROM e")
 def removed(spark, sf):
-    return _sets(spark, sf).select("user_id", F.array_join(F.array_remove("s", "click"), ",").alias("active"))
+    return _sets(spark, sf).select("user_id", "part", F.array_join(F.array_remove("s", "click"), ",").alias("active"))
 
 
 @query("u7_subscribed", "SELECT event_id % 400 AS task_id, user_id AS chat_id FROM events UNION SELECT 7, 7")
