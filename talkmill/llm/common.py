@@ -7,12 +7,12 @@ and ``bytes.split`` without arguments splits at the six ASCII blanks only.
 from __future__ import annotations
 
 import hashlib
-import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkmill.sources.shared import forget, own_folder, qualified, shared_dir, stored  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes to bytes: A-Z to a-z; every other ASCII byte that is no letter or digit to a blank.
@@ -63,39 +63,3 @@ def fresh(name: str, taken: list[str]) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir). Only where none is set and driver and executors are
-    one process, as in tests, a temporary one takes its place; on a cluster that would part them, so it is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        sc = spark.sparkContext
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = _local_dirs.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="talkmill-")
-        _local_dirs[sc.applicationId] = path
-    return path.rstrip("/")
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with the scheme of the store that Hadoop finds it in, the same for Spark and for Python workers."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
-
-
-def stored(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that ``stored`` wrote, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

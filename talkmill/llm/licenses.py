@@ -101,7 +101,7 @@ def template_matches(words: Column, ordered: list[str], templates: list[tuple[st
     def pair(b: Column, k: int) -> Column:
         label, ws = sets[k]
         o, t = need[k], F.array(*map(F.lit, ws))
-        prefix = F.slice(b, F.lit(1), F.size(b) - (o - 1))
+        prefix = F.slice(b, F.lit(1), F.greatest(F.size(b) - (o - 1), F.lit(0)))
         first = F.array_intersect(F.array(*map(F.lit, ws[: len(ws) - o + 1])), prefix)
         left = F.least(F.lit(len(ws)) - F.array_position(t, F.get(first, F.lit(0))), F.size(b) - F.array_position(b, F.get(first, F.lit(0))))
         shared = F.size(F.array_intersect(t, b))

@@ -6,7 +6,6 @@ Without SQL are op2, op3 and op5 (trained models), op10 (spans of regular expres
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import class_lm, decontamination, licenses, mixing, near_dedup, pii, quality, secret_scan, vector_topk, warc
-from .common import shared_dir, table
-
-
-def _own_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from .common import own_folder, table
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +41,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read(spark, warc.write(table(spark, sf_dir, "pages"), _own_folder(spark, "warc")))
+    return warc.read(spark, warc.write(table(spark, sf_dir, "pages"), own_folder(spark, "warc")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +55,8 @@ def op9_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over a ledger of its own, so every blob is unseen."""
-    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), _own_folder(spark, "ledger")))
+    """Over a ledger of its own: a run that shared one would scan only what it has not seen, which this is to measure whole."""
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), own_folder(spark, "ledger")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

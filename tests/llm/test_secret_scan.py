@@ -53,3 +53,22 @@ def test_only_unseen_blobs_are_scanned(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert s.digest(s.scan(docs, str(tmp_path / "ledger"))).count() == 0
+
+
+def test_a_second_run_over_one_ledger_scans_nothing(spark, tmp_path):
+    import os
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = str(tmp_path / "ledger")
+    files = lambda: sorted(f for f in os.listdir(f"{path}/rule_version={s.RULE_VERSION}") if f.startswith("part-"))
+    first = sorted(map(str, s.digest(s.scan(docs, path)).collect()))
+    blobs, before = s.read_ledger(spark, path, s.RULE_VERSION), files()
+    n = blobs.count()
+    assert n == docs.select(s._versions(docs, "text")).distinct().count()
+    # one changed version of a path, all others as they were
+    changed = docs.withColumn("text", s.F.when(s.F.col("doc_id") == 3, "token=abcdefghijklmn").otherwise(s.F.col("text")))
+    assert sorted(map(str, s.digest(s.scan(docs, path)).collect())) == first
+    again = [f for f in files() if f not in before]
+    assert spark.read.schema(s.LEDGER).parquet(path).count() == n and sum(spark.read.parquet(f"{path}/rule_version={s.RULE_VERSION}/{f}").count() for f in again) == 0
+    s.scan(changed, path)
+    assert s.read_ledger(spark, path, s.RULE_VERSION).count() == n + 1
