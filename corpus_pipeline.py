@@ -8,12 +8,10 @@ stays empty.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from talkmill.llm import decontamination, mixing, near_dedup, pii, quality
-from talkmill.llm.common import shared_dir, stored, table
+from talkmill.llm.common import forget, own_folder, stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stored(spark, stage(spark, docs, sf_dir), folder, f"{k}-{name}")
+        if k:  # what the stage before wrote has been read
+            forget(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
