@@ -66,6 +66,77 @@ def test_words_of_one_ending_get_classes_of_their_own(spark):
         assert got[9001] > got[9002] + 2
 
 
+def brute_scores(rows, held, frequent, classes):
+    """Scores as the docstring words them, told with dictionaries and loops over whole texts."""
+    import math
+
+    texts = {i: [*(t or "").encode().lower().split(), m.END] for i, t in rows}
+    train = [w for i, w in texts.items() if i not in held]
+    counts = Counter(x for w in train for x in w)
+    top = sorted((w for w in counts if w != m.END), key=lambda w: (-counts[w], w))[:frequent]
+    units = m.Units([m.END, *top])
+    n = np.zeros((units.size, units.size))
+    for w in train:
+        for a, b in zip([m.END, *w], w):
+            n[units[a], units[b]] += 1
+    of = m.exchange(n, 0, classes)
+    k = int(of.max()) + 1
+    pairs = np.zeros((k, k))
+    for a in range(units.size):
+        for b in range(units.size):
+            pairs[of[a], of[b]] += n[a, b]
+
+    def step(table, a, b):
+        share = (table[:, b].sum() + m.ADD) / (table.sum() + m.ADD * k)
+        return math.log10((table[a, b] + k * share) / (table[a].sum() + k))
+
+    first = lambda w: int(of[units[w]])
+    cls = {w: first(w) for w in counts if w in top or w == m.END}
+    for w in counts.keys() - cls.keys():
+        gain = {}
+        for c in range(1, k):
+            if pairs[:, c].sum():
+                gain[c] = 0.0
+                for text in train:
+                    seq = [m.END, *text]
+                    for j in range(1, len(seq)):
+                        if seq[j] == w:
+                            gain[c] += step(pairs, first(seq[j - 1]), c) + step(pairs, c, first(seq[j + 1])) - math.log10(pairs[:, c].sum())
+        best = max(gain.values())
+        cls[w] = min(c for c, g in gain.items() if round(g, 6) == round(best, 6))
+    table, sums, places = np.zeros((k, k)), Counter(), Counter()
+    of_word = lambda w: cls.get(w, first(w))
+    for w in train:
+        for a, b in zip([m.END, *w], w):
+            table[of_word(a), of_word(b)] += 1
+    for w, c in counts.items():
+        sums[cls[w]] += c
+        places[cls[w]] += 1
+    emit = lambda w: math.log10((counts.get(w, 0) + m.ADD) / (sums[of_word(w)] + m.ADD * (places[of_word(w)] + 1)))
+    return {i: sum(step(table, of_word(a), of_word(b)) + emit(b) for a, b in zip([m.END, *w], w)) for i, w in texts.items()}
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"{rng.choice('abcd')}{rng.randrange(30)}" for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, weights=range(1, 61), k=rng.randrange(25)))) for i in range(60)] + [(70, "unseen word"), (71, ""), (72, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_scores(rows, {i for i, _ in rows if i % 5 == 0 or i >= 70}, 12, 6)
+    for hot in (15, m.HOT):
+        got = m.scored(docs, (m.F.col("doc_id") % 5 == 0) | (m.F.col("doc_id") >= 70), frequent=12, classes=6, hot=hot).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.score == pytest.approx(want[r.doc_id], abs=1e-6), r
+            assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
+
+
+def test_frequent_long_words_are_hot_too(spark):
+    long = "z" * 500
+    rows = [(i, f"{long} a b {long}c") for i in range(30)] + [(40, long), (41, "a")]
+    out = {r.doc_id: r for r in m.scored(spark.createDataFrame(rows, "doc_id long, text string"), m.F.col("doc_id") >= 40, hot=3).collect()}
+    assert out[40].n_known == 2 and out[40].base_score == pytest.approx(m.base_score(Counter({b"a": 30, b"b": 30, b"l": 30, b"c": 30, m.END: 30}), [b"l"]))
+
+
 def test_distributions_sum_to_one():
     rng = np.random.default_rng(1)
     assert np.allclose((10 ** m.transitions(rng.integers(0, 9, size=(7, 7)).astype(float))).sum(1), 1)
