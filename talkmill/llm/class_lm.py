@@ -78,6 +78,30 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(counts)
 
 
+def most_frequent(counts: DataFrame, n: int) -> pa.Table:
+    """The n words of the largest counts, ties by the word, in that order.
+
+    Histograms of the counts, first by their logarithms and then of the bin where the n-th lies, tell which counts are in,
+    so only the words that tie with the n-th are sorted, and no task gets more than n words of each other one.
+    """
+    rows = counts.withColumn("_bin", F.floor(F.log2("c") * 16))
+
+    def border(key: str, of: DataFrame, above: int) -> tuple[int | None, int]:
+        for r in sorted(of.groupBy(key).count().collect(), reverse=True):
+            if above + r["count"] > n:
+                return r[key], above
+            above += r["count"]
+        return None, above
+
+    edge, above = border("_bin", rows, 0)
+    top = counts
+    if edge is not None:
+        least, above = border("c", rows.filter(F.col("_bin") == edge), above)
+        ties = counts.filter(F.col("c") == least).orderBy("word").limit(n - above)
+        top = counts.filter(F.col("c") > least).unionByName(ties)
+    return top.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+
+
 class Units(dict):
     """Word to unit: its own where frequent (or the end), else that of its ending."""
 
@@ -211,7 +235,7 @@ def _neighbours(shared: Broadcast, k: int):
             before = np.concatenate([of[unit_of[:1]], cls[:-1]])
             keys += [word[at] * (2 * k) + before[at], word[at] * (2 * k) + k + cls[at + 1]]  # a text's end follows every word
             size += 2 * len(at)
-            if size > 1_000_000:
+            if size > 3_000_000:
                 yield out()
                 keys, size, local = [], 0, {}
         if size:
@@ -392,8 +416,7 @@ def scored(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, classes:
     folder = f"{shared_dir(spark)}/class-lm-{uuid.uuid4().hex}"
     texts = docs.filter(~held_out).select(text_bytes().alias("text"))
     counts = stored(spark, texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), folder, "counts")
-    # Arrow tables, not rows: the bounded tables stay small in the driver too
-    top = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()
+    top = most_frequent(counts, hot)
     tokens_, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     known = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
     known = {END: known.get(END, 0)} | known

@@ -163,3 +163,14 @@ def test_exchange_finds_planted_classes():
     groups = [set(of[truth == k]) for k in (1, 2, 3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
     assert likelihood(n.astype(float), of) == pytest.approx(likelihood(n.astype(float), truth))
+
+
+def test_most_frequent_words(spark):
+    rng = random.Random(3)
+    rows = [(f"w{i}".encode(), rng.choice([1, 2, 3, 70, 71, 72, 73, 1000])) for i in range(300)]
+    df = spark.createDataFrame([(bytearray(w), c) for w, c in rows], "word binary, c long").repartition(4)
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for n in (0, 1, 40, 77, 150, 299, 300, 1000):
+        got = m.most_frequent(df, n)
+        assert list(zip(got["word"].to_pylist(), got["c"].to_pylist())) == want[:n]
+    assert m.most_frequent(df.limit(0), 5).num_rows == 0
