@@ -127,3 +127,19 @@ def read_file_from_url(state: dict, url: str) -> DataFrame:
     from talkmill.operators import files
 
     return files.downloaded(state["downloads"].filter(F.col("url") == url))
+
+
+@tools.add("CodeExecution", "ExecuteCode")
+def execute_code(state: dict, code: str, timeout_s: int = 10) -> DataFrame:
+    """What a sandbox, whose answers are given, made of a program."""
+    from talkmill.operators import code as ops
+
+    return ops.executed(ops.requests(state["programs"].filter(F.col("code") == code), timeout_s), state["answers"])
+
+
+@tools.add("CodeExecution", "SolveWithCode")
+def solve_with_code(state: dict, task: str, timeout_s: int = 10, max_code_retries: int = 2) -> DataFrame:
+    """What the attempts at a task, which are given, came to."""
+    from talkmill.operators import code as ops
+
+    return ops.solved(state["attempts"].filter(F.col("task_id") == task), max_code_retries)

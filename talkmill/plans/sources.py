@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from talkmill.functions import text as tx
-from talkmill.operators import catalog, evaluation, files, methods, prompts
+from talkmill.operators import catalog, code, evaluation, files, methods, prompts
 from talkmill.operators.registry import tools
 from talkmill.sources import questions, results
 from talkmill.sources.shared import own_folder
@@ -169,7 +170,8 @@ def log_lines(spark, sf):
 
 @query("v1_tool_catalogue", """SELECT * FROM (VALUES ('PlayBooks--LoadPlayBook', 'name:string'), ('PlayBooks--CreatePlayBook', 'id:string,name:string,when_to_use:string,what_to_do:string'),
 ('Scheduling--ScheduleIntervalTask', 'query:string,delay_seconds:integer,repetitions:integer'), ('Scheduling--ScheduleCalendarTask', 'query:string,time_of_day:string,weekdays:string'), ('Scheduling--GetScheduledTasks', ''),
-('Scheduling--CancelScheduleTask', 'task_id:integer'), ('Chats--SearchChats', 'query:string'), ('Chats--GatherUserInfo', ''), ('Files--ReadFileFromUrl', 'url:string')) AS t(name, params)""")
+('Scheduling--CancelScheduleTask', 'task_id:integer'), ('Chats--SearchChats', 'query:string'), ('Chats--GatherUserInfo', ''), ('Files--ReadFileFromUrl', 'url:string'), ('CodeExecution--ExecuteCode', 'code:string,timeout_s:integer'),
+('CodeExecution--SolveWithCode', 'task:string,timeout_s:integer,max_code_retries:integer')) AS t(name, params)""")
 def tool_catalogue(spark, sf):
     c = tools.catalogue(spark)
     return c.select(F.concat_ws("--", "provider", "tool").alias("name"), F.array_join(F.transform("properties", lambda p: F.concat_ws(":", p["name"], p["type"])), ",").alias("params"))
@@ -209,3 +211,30 @@ def planned_requests(spark, sf):
 ('self-orchestrated', 'max_rounds', 'integer', '5'), ('self-orchestrated', 'max_iterations', 'integer', '3'), ('self-orchestrated', 'use_agent_planner', 'boolean', 'true'), ('self-orchestrated', 'use_agent_evaluator', 'boolean', 'false')) AS t(method, key, type, "default")""")
 def method_settings(spark, sf):
     return methods.METHODS.properties(spark)
+
+
+@query("v2_executions", """SELECT event_id AS run_id, 'a = ' || event_id || chr(10) || '_result = a + 1' AS code, CASE WHEN event_id % 5 = 0 OR event_id % 40 > 15 THEN 'timeout' WHEN event_id % 4 = 0 THEN 'error' ELSE 'success' END AS status,
+CASE WHEN event_id % 5 > 0 AND event_id % 40 <= 15 AND event_id % 4 > 0 THEN 'out ' || event_id END AS stdout FROM events""")
+def executions(spark, sf):
+    """Programs as a sandbox is asked to run them, and what its answers come to: some are late, missing or too large."""
+    e = load(spark, sf, "events")
+    k = F.col("event_id")
+    asked = code.requests(e.select(k.alias("run_id"), F.format_string("a = %d\na + 1", k).alias("code")))
+    answers = e.filter("event_id % 5 > 0").select(
+        k.alias("run_id"), F.lit("success").alias("status"), F.format_string("out %d", k).alias("stdout"), F.lit("").alias("stderr"), (k % 40).cast("double").alias("seconds"), F.when(k % 4 == 0, 2000).otherwise(10).alias("used_mb"),
+    )
+    return asked.select("run_id", "code").join(code.executed(asked, answers), "run_id").select("run_id", "code", "status", "stdout")
+
+
+_ATTEMPTS = """a AS (SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, CASE WHEN event_id % 3 > 0 THEN 'p' || event_id END AS code, CASE event_type WHEN 'purchase' THEN 'success' ELSE 'error' END AS s FROM events),
+b AS (SELECT *, CASE WHEN code IS NULL THEN 'no code' ELSE s END AS status FROM a WHERE attempt <= 3),
+l AS (SELECT task_id, coalesce(min(attempt) FILTER (status = 'success'), max(attempt)) AS last FROM b GROUP BY ALL)"""
+
+
+@query("v3_solved_tasks", f"""WITH {_ATTEMPTS} SELECT b.task_id, b.attempt, b.code, b.status, (SELECT count(*) FROM b AS p WHERE p.task_id = b.task_id AND p.attempt < last) AS failed FROM b JOIN l ON l.task_id = b.task_id AND b.attempt = last""")
+def solved_tasks(spark, sf):
+    """Generate, run, retry: what the attempts at each task came to."""
+    e = load(spark, sf, "events")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    a = e.select(F.col("user_id").alias("task_id"), n.cast("bigint").alias("attempt"), F.when(F.col("event_id") % 3 > 0, F.format_string("p%d", "event_id")).alias("code"), F.when(F.col("event_type") == "purchase", "success").otherwise("error").alias("status"))
+    return code.solved(a).select("task_id", "attempt", "code", "status", F.size("previous").cast("bigint").alias("failed"))

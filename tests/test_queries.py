@@ -35,7 +35,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint>" in p
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"j7_matched_calls", "j8_parameter_match", "x12_last_expression", "x18_pretty_json"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"j7_matched_calls", "j8_parameter_match", "x12_last_expression", "x18_pretty_json", "v2_executions"}))
 def test_no_cartesian_product_and_no_python(spark, name):
     p = plan(registry.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in p and "Python" not in p and "Pandas" not in p and "MapInArrow" not in p
