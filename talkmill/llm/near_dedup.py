@@ -219,7 +219,6 @@ def _near(threshold: int):
 
 def _linked(spark, edges: DataFrame, bodies: DataFrame, size: int, threshold: int, folder: str) -> DataFrame:
     """Component -> smaller component (comp, to), by those edges that the full sets confirm."""
-    edges = stored(spark, edges, folder, "edges")
     pair = edges.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     pair = pair.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
     links = pair.mapInArrow(_confirm(size, threshold), "a_comp long, b_comp long")
@@ -267,9 +266,9 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
         most = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
         most = most.agg(F.max_by("comp", "k").alias("main"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
         most = stored(spark, most, at, "most")
-        live = stored(spark, members.join(most, "bucket").join(bodies.select("node", "bits", "small"), "node"), at, "live")
-        if not live.count():
+        if most.isEmpty():
             break
+        live = stored(spark, members.join(most, "bucket").join(bodies.select("node", "bits", "small"), "node"), at, "live")
         drawn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30)) * F.col("others") < F.lit(centres_each << 30)
         centre = live.filter("comp <> main").filter(drawn)
         centre = centre.select("bucket", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp"), F.col("bits").alias("c_bits"), F.col("small").alias("c_small"))
