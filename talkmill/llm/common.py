@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.sources.shared import forget, own_folder, qualified, shared_dir, stored  # noqa: F401
+from talkmill.sources.shared import forget, own_folder, qualified, shared_dir, size_of, stored  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

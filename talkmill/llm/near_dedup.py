@@ -40,12 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blank_words, forget, fresh, shared_dir, stored, text_bytes
+from .common import blank_words, forget, fresh, shared_dir, size_of, stored, text_bytes
 
 THRESHOLD = 80  # per cent
 BANDS, ROWS, SEED_BANDS = 40, 5, 4
 CENTRES, GROWTH = 16, 8
 SKETCH, SIGMAS = 512, 6.0
+#: Bytes of written edges that one task takes.
+EDGE_BYTES = 512 * 1024
 _U = np.uint64
 
 
@@ -175,28 +177,43 @@ def _confirm(size: int, threshold: int):
     return run
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    """Every edge (u, v) from both of its ends."""
+    ends = F.array(F.struct("u", "v", F.lit(1).alias("out")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("out")))
+    return edges.select(F.explode(ends).alias("e")).select("e.*")
+
+
 def _is_forest(edges: DataFrame) -> bool:
     """Whether the edges (u, v) are stars: each u has one v, which is no u itself."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("inn")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
-    ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("inn").alias("inn"))
-    return not ends.agg(F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("inn") > 0)))).first()[0]
+    ends = _both(edges).groupBy("u").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return not ends.agg(F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("least") == 0)))).first()[0]
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
-    """(u, v): every end of a link but the smallest of its component, with that smallest one as v."""
+    """(u, v): every end of a link but the smallest of its component, with that smallest one as v.
+
+    A small table of edges is read into as few tasks as its bytes need, so that the steps on it need not shuffle.
+    """
     spark = links.sparkSession
+
+    def kept(edges: DataFrame, step: int) -> tuple[DataFrame, int]:
+        edges = stored(spark, edges, folder, str(step))
+        tasks = -(-size_of(spark, f"{folder}/{step}") // EDGE_BYTES) or 1
+        return edges.coalesce(tasks), tasks
+
     edges = links.select(F.greatest("a_comp", "b_comp").alias("u"), F.least("a_comp", "b_comp").alias("v")).filter("u <> v").distinct()
-    edges, step = stored(spark, edges, folder, "0"), 0
+    (edges, tasks), step = kept(edges, 0), 0
     while not _is_forest(edges):
         # large star: the larger neighbours of a node go to its smallest one
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _both(edges).drop("out")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        every = small.unionByName(low.select("u", F.col("m").alias("v")))
         step += 1
-        edges = stored(spark, small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), folder, str(step))
+        edges, tasks = kept((every.coalesce(1) if tasks == 1 else every).distinct(), step)
         forget(spark, f"{folder}/{step - 1}")
     return edges
 
