@@ -22,7 +22,7 @@ def _scan(values: Column, start: Column, op: Callable[[Column, Column], Column])
     return F.aggregate(values, zero, step, lambda acc: acc["out"])
 
 
-def scan(values: Column, start: Column, op: Callable[[Column, Column], Column], neutral: int, levels: int = 2) -> Column:
+def scan(values: Column, start: Column, op: Callable[[Column, Column], Column], neutral: int, levels: int = 1) -> Column:
     """array<bigint>: for each value what ``op`` makes of ``start`` and all values before it (bigints, op associative)."""
     if not levels:
         return _scan(values, start, op)
