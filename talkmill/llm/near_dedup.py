@@ -10,7 +10,9 @@
    one component. Of its members outside the component that has most of it about ``CENTRES`` become centres at first,
    drawn by a hash, and ``GROWTH`` times as many in each further round, all where they are no more, with an edge to each member of another component that
    its size and a sketch allow (the half hashes of sets up to ``SKETCH`` shingles, ``SKETCH`` bits of larger ones);
-   then they leave the bucket. So edges are stars, a large
+   then they leave the bucket. Where others are left for later rounds, about ``CENTRES`` members of the main component are centres too,
+   so that what is linked to many of it joins it by a few stars. Two members that share many buckets are
+   a pair in that of the smallest key alone. So edges are stars, a large
    group of near copies costs a star or two, rounds grow with the logarithm of the largest bucket,
    and no pair of a bucket goes untested unless it is in one component already. The sketch's bound lies
    ``SIGMAS`` standard deviations under what a pair at the threshold shows, so it misses one in 1e9 of these, fewer
@@ -45,6 +47,8 @@ from .common import blank_words, forget, fresh, shared_dir, size_of, stored, tex
 THRESHOLD = 80  # per cent
 BANDS, ROWS, SEED_BANDS = 40, 5, 4
 CENTRES, GROWTH = 16, 8
+#: What a member of a bucket is called as its centre.
+CENTRE = {"node": "c", "n": "c_n", "comp": "c_comp", "bits": "c_bits", "small": "c_small", "bands": "c_bands"}
 SKETCH, SIGMAS = 512, 6.0
 #: Bytes of written edges that one task takes.
 EDGE_BYTES = 512 * 1024
@@ -147,7 +151,8 @@ def _sketch(size: int):
             # the low halves of the hashes, whose high halves they are sorted by
             small = [(h & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if len(h) <= SKETCH else None for h in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch["node"], pa.array(bits, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int32())), batch["text"]], names=["node", "bits", "small", "text"]
+                [batch["node"], pa.array(bits, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int32())), batch["bands"], batch["text"]],
+                names=["node", "bits", "small", "bands", "text"],
             )
 
     return run
@@ -234,6 +239,22 @@ def _near(threshold: int):
     return F.when(small, 100 * both >= threshold * (F.col("n") + F.col("c_n") - both)).otherwise(bits)
 
 
+def _pairs(live: DataFrame, centre: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of centres and members of their buckets that may be linked and aren't yet, each but once.
+
+    Of all buckets that two nodes share, that of the smallest key alone has them as a pair; of two centres the smaller one.
+    """
+    l, r = live.alias("l"), centre.alias("r")
+    low = F.col("c") < F.col("node")
+    first = F.array_min(F.array_intersect("bands", "c_bands")) == F.col("l.bucket")
+    apart = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("comp") != F.col("c_comp"))
+    star = l.join(r, apart & (~F.col("drawn") | low) & _fits(threshold) & first & _near(threshold))
+    return star.select(
+        F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"),
+        F.when(low, F.col("c_comp")).otherwise(F.col("comp")).alias("a_comp"), F.when(low, F.col("comp")).otherwise(F.col("c_comp")).alias("b_comp"),
+    )
+
+
 def _linked(spark, edges: DataFrame, bodies: DataFrame, size: int, threshold: int, folder: str) -> DataFrame:
     """Component -> smaller component (comp, to), by those edges that the full sets confirm."""
     pair = edges.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
@@ -263,9 +284,9 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
     found = stored(spark, every.join(shared, "bucket"), folder, "shared")
 
     # one text of each class that shares a bucket, by the text's own digest
-    needed = found.select("node").distinct().join(classes.select("node", "key"), "node")
-    bodies = texts.select("key", "text").dropDuplicates(["key"]).join(needed, "key").select("node", "text")
-    bodies = stored(spark, bodies.mapInArrow(_sketch(size), "node long, bits array<long>, small array<int>, text binary"), folder, "bodies")
+    needed = found.select("node").distinct().join(classes.select("node", "key", "bands"), "node")
+    bodies = texts.select("key", "text").dropDuplicates(["key"]).join(needed, "key").select("node", "bands", "text")
+    bodies = stored(spark, bodies.mapInArrow(_sketch(size), "node long, bits array<long>, small array<int>, bands array<long>, text binary"), folder, "bodies")
 
     # seed: one star in each bucket of a few bands
     seed = found.filter(F.col("band") < SEED_BANDS)
@@ -281,26 +302,22 @@ def groups(docs: DataFrame, size: int = 4, threshold: int = THRESHOLD, bands: in
         moved = members.join(moves[-1], "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
         members = stored(spark, moved, at, "members")
         most = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
-        most = most.agg(F.max_by("comp", "k").alias("main"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
+        most = most.agg(F.max_by("comp", "k").alias("main"), F.max("k").alias("mains"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
         most = stored(spark, most, at, "most")
         if most.isEmpty():
             break
-        live = stored(spark, members.join(most, "bucket").join(bodies.select("node", "bits", "small"), "node"), at, "live")
-        drawn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30)) * F.col("others") < F.lit(centres_each << 30)
-        centre = live.filter("comp <> main").filter(drawn)
-        centre = centre.select("bucket", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp"), F.col("bits").alias("c_bits"), F.col("small").alias("c_small"))
-        centre = stored(spark, centre, at, "centres")
-        l, r = live.alias("l"), centre.alias("r")
-        star = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("comp") != F.col("c_comp")) & _fits(threshold) & _near(threshold))
-        low = F.col("c") < F.col("node")
-        edges = star.select(
-            F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"),
-            F.when(low, F.col("c_comp")).otherwise(F.col("comp")).alias("a_comp"), F.when(low, F.col("comp")).otherwise(F.col("c_comp")).alias("b_comp"),
-        ).distinct()
+        draw = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30))
+        # of the main component only where others are left for later rounds
+        drawn = F.when(F.col("comp") != F.col("main"), draw * F.col("others") < F.lit(centres_each << 30)).otherwise(
+            (F.col("others") > centres_each) & (draw * F.col("mains") < F.lit(CENTRES << 30))
+        )
+        live = members.join(most, "bucket").join(bodies.select("node", "bits", "small", "bands"), "node").withColumn("drawn", drawn)
+        live = stored(spark, live, at, "live")
+        centre = live.filter("drawn").select("bucket", *(F.col(x).alias(y) for x, y in CENTRE.items()))
+        edges = _pairs(live, stored(spark, centre, at, "centres"), threshold)
         moves.append(_linked(spark, edges, bodies, size, threshold, at))
         # buckets whose others have all been centres are done
-        rest = live.filter(F.col("others") > centres_each).select("bucket", "node", "n", "comp")
-        members = rest.join(centre.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
+        members = live.filter((F.col("others") > centres_each) & ~F.col("drawn")).select("bucket", "node", "n", "comp")
         centres_each *= GROWTH
 
     nodes = found.select("node").distinct().withColumn("comp", F.col("node"))

@@ -59,6 +59,38 @@ def test_components_equal_brute_force(spark):
     assert got == sorted((str(d), k, str(c)) for d, k, c in brute(rows))
 
 
+def joined_rows(df):
+    """Rows that the joins on buckets made as the table was read."""
+    out, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if "Join" in name and "bucket" in plan.simpleString(100):
+            out += plan.metrics().apply("numOutputRows").value()
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+        if name == "AdaptiveSparkPlan" or name.endswith("QueryStage"):
+            plans.append(plan.plan() if name.endswith("QueryStage") else plan.executedPlan())
+    return out
+
+
+def test_a_pair_of_near_copies_is_made_once_and_not_in_each_bucket(spark, monkeypatch):
+    linked, made, pairs = n._linked, [], []
+
+    def count(spark, edges, bodies, size, threshold, folder):
+        if "round-" in folder:
+            pairs.extend((r.a, r.b) for r in edges.collect())
+            made.append(joined_rows(edges))
+        return linked(spark, edges, bodies, size, threshold, folder)
+
+    monkeypatch.setattr(n, "_linked", count)
+    texts = family(random.Random(3), 150, 12, 150) + family(random.Random(4), 150, 9, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in n.groups(docs).collect())
+    assert got == brute(list(enumerate(texts)))
+    assert len(pairs) > 50 and sum(made) == len(pairs) == len(set(pairs))
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g", 5), (2, "a b c d e f g", 6), (3, "other words stand in this one", 1), (4, "", 2), (5, None, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
