@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +17,15 @@ from .ranking import placed
 EXACT, PARTIAL, NONE = "exact", "partial", "none"
 
 
-def _kind(v) -> str:
-    return type(v).__name__
+#: Parsed texts that are kept in a Python worker, and the longest of them.
+KEPT, KEPT_CHARS = 16_384, 256
+
+_kept = lru_cache(KEPT)(json.loads)
+
+
+def _parsed(text: str):
+    """The text's JSON value, which may be shared: it is only read."""
+    return _kept(text) if len(text) <= KEPT_CHARS else json.loads(text)
 
 
 def arguments_match(actual: dict, expected: list[dict]) -> bool:
@@ -28,12 +38,13 @@ def arguments_match(actual: dict, expected: list[dict]) -> bool:
     by_key = {e["key"]: e for e in expected}
     if not actual.keys() <= by_key.keys():
         return False
-    if any(not e["optional"] and e["key"] not in actual for e in expected):
-        return False
+    for e in expected:
+        if not e["optional"] and e["key"] not in actual:
+            return False
     for key, value in actual.items():
         e = by_key[key]
-        want = json.loads(e["value"])
-        if _kind(value) != _kind(want):
+        want = _parsed(e["value"])
+        if type(value) is not type(want):
             return False
         if e["match"] == EXACT:
             if value != want:
@@ -67,7 +78,7 @@ def match_calls(expected: list[dict], actual: list[dict]) -> tuple[list[tuple[in
                 args = args["requestBody"]
             if not isinstance(args, dict) or not arguments_match(args, e["args"]):
                 continue
-            if all(d in ids for d in e["depends"]):
+            if ids.issuperset(e["depends"]):
                 pairs.append((i, j))
                 ids.add(e["id"])
                 free.remove(j)
@@ -81,33 +92,111 @@ def match_calls(expected: list[dict], actual: list[dict]) -> tuple[list[tuple[in
 MATCHES = "question_id long, kind string, expected_pos int, actual_pos int, name string"
 
 
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _plain(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(column: pa.ListArray, items: Callable[[pa.Array], list]) -> list[list]:
+    """A column of lists; null ones are empty."""
+    ends = column.offsets.to_numpy()
+    begins, ends = ends[:-1], np.where(column.is_valid().to_numpy(zero_copy_only=False), ends[1:], ends[:-1])
+    inner = items(column.values)
+    return [inner[i:j] for i, j in zip(begins.tolist(), ends.tolist())]
+
+
+def _arguments(column: pa.StructArray) -> list[dict]:
+    of = dict(zip((f.name for f in column.type), map(_plain, column.flatten())))
+    return [{"key": k, "value": v, "match": m, "optional": o} for k, v, m, o in zip(of["key"], of["value"], of["match"], of["optional"])]
+
+
+def _expected_calls(rows: pa.RecordBatch) -> list[dict]:
+    ids = lambda c: _lists(c, _plain)
+    cols = [_plain(rows[c]) for c in ("id", "name", "optional")] + [ids(rows["depends"]), _lists(rows["alternatives"], ids), _lists(rows["wanted"], _arguments)]
+    return [{"id": i, "name": n, "optional": o, "depends": d, "alternatives": g, "args": a} for i, n, o, d, g, a in zip(*cols)]
+
+
+def _actual_calls(rows: pa.RecordBatch) -> list[dict]:
+    return [{"name": n, "args": _parsed(a) if a else {}} for n, a in zip(_plain(rows["name"]), _plain(rows["given"]))]
+
+
+def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[dict], list[dict]]]:
+    """Each question with its expected and its actual calls. The rows come by question, expected calls first.
+
+    A question may go on in the next batch. Without a question_id both sides stand for themselves.
+    """
+    last, want, done = (None, None), [], []
     for batch in batches:
-        rows = []
-        for question, expected, actual in zip(*(batch[c].to_pylist() for c in ("question_id", "expected", "actual"))):
-            want = [e | {"args": e["args"] or [], "depends": e["depends"] or [], "alternatives": e["alternatives"] or []} for e in expected or []]
-            done = [{"name": a["name"], "args": json.loads(a["args"]) if a["args"] else {}} for a in actual or []]
+        if not batch.num_rows:
+            continue
+        told = batch["is_expected"]
+        side, null = told.to_numpy(zero_copy_only=False), batch["question_id"].is_null().to_numpy(zero_copy_only=False)
+        q = batch["question_id"].fill_null(0).to_numpy()
+        new = np.flatnonzero((q[1:] != q[:-1]) | (null[1:] != null[:-1]) | (null[1:] & (side[1:] != side[:-1]))) + 1
+        begins = np.concatenate(([0], new))
+        ends = np.concatenate((new, [batch.num_rows]))
+        of_side = np.concatenate(([0], np.cumsum(side)))
+        expected, actual = _expected_calls(batch.filter(told)), _actual_calls(batch.filter(pa.array(~side)))
+        e = of_side[np.concatenate(([0], ends))]
+        a = np.concatenate(([0], ends)) - e
+        e, a = e.tolist(), a.tolist()
+        kinds = np.where(null[begins], side[begins] + 1, 0).tolist()
+        for k, key in enumerate(zip(q[begins].tolist(), kinds)):
+            own = expected[e[k] : e[k + 1]], actual[a[k] : a[k + 1]]
+            if key == last:
+                want += own[0]
+                done += own[1]
+                continue
+            if want or done:
+                yield None if last[1] else last[0], want, done
+            last, (want, done) = key, own
+    if want or done:
+        yield None if last[1] else last[0], want, done
+
+
+#: Rows of one batch of matches.
+BATCH = 10_000
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["question_id", "kind", "expected_pos", "actual_pos", "name"])
+
+    rows = []
+    gc.disable()  # there are no cycles here, and collecting walks a batch's calls again and again
+    try:
+        for question, want, done in _questions(batches):
             pairs, missed, extra = match_calls(want, done)
             rows += [(question, "match", i, j, done[j]["name"]) for i, j in pairs]
             rows += [(question, "missed", i, None, want[i]["name"]) for i in missed]
             rows += [(question, "extra", None, j, done[j]["name"]) for j in extra]
-        types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-        cols = list(zip(*rows)) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["question_id", "kind", "expected_pos", "actual_pos", "name"])
+            if len(rows) >= BATCH:
+                yield told(rows)
+                rows = []
+        if rows:
+            yield told(rows)
+    finally:
+        gc.enable()
 
 
 def matched(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """The matching of every question (a handful of calls each), one row per match, miss or extra call.
 
     expected: question_id, pos, id, name, optional, depends, alternatives, args; actual: question_id,
-    iteration, pos, name, args (JSON). Both sides become one array a question and meet once; the matching itself, greedy
-    and stateful, takes the questions in Arrow batches.
+    iteration, pos, name, args (JSON). The calls of both sides go to their question in one shuffle and are sorted there;
+    the matching itself, greedy and stateful, reads them question by question from Arrow columns.
     """
-    want = F.array_sort(F.collect_list(F.struct("pos", "id", "name", "optional", "depends", "alternatives", "args")))
-    done = F.array_sort(F.collect_list(F.struct("iteration", "pos", "name", "args")))
-    e = expected.groupBy(F.col("question_id").cast("bigint").alias("question_id")).agg(want.alias("expected"))
-    a = actual.groupBy(F.col("question_id").cast("bigint").alias("question_id")).agg(done.alias("actual"))
-    return e.join(a, "question_id", "full_outer").mapInArrow(_matched, MATCHES)
+    question = F.col("question_id").cast("bigint").alias("question_id")
+    e = expected.select(question, F.struct("pos", "id", "name", "optional", "depends", "alternatives", "args").alias("e"))
+    a = actual.select(question, F.struct("iteration", "pos", "name", "args").alias("a"))
+    # nulls come first, and an expected call has no a
+    rows = e.unionByName(a, allowMissingColumns=True).repartition("question_id").sortWithinPartitions("question_id", "a", "e")
+    calls = rows.select(
+        "question_id", F.col("e").isNotNull().alias("is_expected"), "e.id", F.coalesce("e.name", "a.name").alias("name"), "e.optional", "e.depends", "e.alternatives",
+        F.col("e.args").alias("wanted"), F.col("a.args").alias("given"),
+    )
+    return calls.mapInArrow(_matched, MATCHES)
 
 
 def parameter_matches(calls: DataFrame) -> DataFrame:

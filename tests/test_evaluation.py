@@ -80,6 +80,47 @@ def test_matching_over_tables(spark):
     assert got == {(1, "match", 0, 0, "a--GetIt"), (1, "missed", 1, None, "Set"), (1, "extra", None, 1, "a--Other"), (2, "missed", 0, None, "Get"), (3, "extra", None, 0, "z")}
 
 
+def told(question, expected, actual):
+    """The rows of match_calls of one question."""
+    pairs, missed, extra = ev.match_calls(expected, actual)
+    name = lambda rows, i: rows[i]["name"]
+    rows = [(question, "match", i, j, name(actual, j)) for i, j in pairs] + [(question, "missed", i, None, name(expected, i)) for i in missed]
+    return rows + [(question, "extra", None, j, name(actual, j)) for j in extra]
+
+
+def test_matching_over_tables_equals_that_of_each_question(spark):
+    """Whatever way the rows come and wherever the batches end; questions without an id keep their sides apart."""
+    rng = random.Random(23)
+    cases = {q: case(rng) for q in range(60)} | {1000: (case(rng)[0], []), 1001: ([], case(rng)[1])}
+    alone = ({"id": 0, "name": "Set", "optional": False, "depends": [], "alternatives": [], "args": []}, {"name": "Set", "args": {}})
+    want = [r for q, (e, a) in cases.items() for r in told(q, e, a)] + told(None, [alone[0]], []) + told(None, [], [alone[1]])
+    cases[None] = ([alone[0]], [alone[1]])
+    e = [(q, k, x["id"], x["name"], x["optional"], x["depends"] or None, x["alternatives"] or None, [tuple(p[c] for c in ("key", "value", "match", "optional")) for p in x["args"]] or None) for q, (es, _) in cases.items() for k, x in enumerate(es)]
+    a = [(q, k // 2, k % 2, x["name"], json.dumps(x["args"]) if x["args"] else None) for q, (_, xs) in cases.items() for k, x in enumerate(xs)]
+    rng.shuffle(e)
+    rng.shuffle(a)
+    e = spark.createDataFrame(e, "question_id long, pos int, id int, name string, optional boolean, depends array<int>, alternatives array<array<int>>, args array<struct<key: string, value: string, match: string, optional: boolean>>")
+    a = spark.createDataFrame(a, "question_id long, iteration int, pos int, name string, args string")
+    key = lambda r: tuple((v is not None, v) for v in r)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in (before, 3, 1):
+            spark.conf.set(size, n)
+            assert sorted(map(tuple, ev.matched(e, a).collect()), key=key) == sorted(want, key=key)
+    finally:
+        spark.conf.set(size, before)
+    assert ev.matched(e.limit(0), a.limit(0)).count() == 0 and {r.kind for r in ev.matched(e.limit(0), a).collect()} == {"extra"}
+
+
+def test_both_sides_of_a_matching_meet_in_one_shuffle(spark):
+    """No arrays of calls are built, shuffled and joined before they are matched."""
+    e = spark.createDataFrame([], "question_id long, pos int, id int, name string, optional boolean, depends array<int>, alternatives array<array<int>>, args array<struct<key: string, value: string, match: string, optional: boolean>>")
+    a = spark.createDataFrame([], "question_id long, iteration int, pos int, name string, args string")
+    p = ev.matched(e, a)._jdf.queryExecution().executedPlan().toString()
+    assert p.count("Exchange") == 1 and "Join" not in p and "collect_list" not in p
+
+
 def test_comparison_leaves_out_zero_scores(spark):
     s = "method string, model string, questions long, correct long, perfect long, tokens long, time double, server_time double, average_score double"
     new = spark.createDataFrame([("a", "m", 4, 3, 1, 10, 2.5, 1.0, 4.0), ("b", "m", 1, 1, 1, 1, 1.0, 1.0, 1.0)], s)
