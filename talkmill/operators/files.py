@@ -83,8 +83,8 @@ def code_that_returns(source: str) -> str:
     if not tree.body or not isinstance(tree.body[-1], ast.Expr):
         return source
     last = tree.body[-1]
-    tree.body[-1] = ast.copy_location(ast.Assign([ast.Name("_result", ast.Store())], last.value, lineno=last.lineno), last)
-    return ast.unparse(ast.fix_missing_locations(tree))
+    tree.body[-1] = ast.Assign([ast.Name("_result", ast.Store())], last.value, lineno=last.lineno)  # the only place that unparse reads
+    return ast.unparse(tree)
 
 
 def returning(code):
@@ -95,3 +95,12 @@ def returning(code):
         return s.map(lambda x: None if x is None else code_that_returns(x))
 
     return rewrite(code)
+
+
+def returned(programs: DataFrame, key: str) -> DataFrame:
+    """Programs (the key, ``code`` and more) with their last expressions bound.
+
+    They are dealt out by the key first: programs take far longer to rewrite than to read, and a small file of many is read
+    by few tasks.
+    """
+    return programs.repartition(key).withColumn("code", returning(F.col("code")))

@@ -133,7 +133,7 @@ def current_time(spark, sf):
 @query("x12_last_expression", "SELECT event_id, 'a = ' || event_id || chr(10) || '_result = a + 1' AS code FROM events")
 def last_expression(spark, sf):
     code = F.format_string("a = %d\na  +  1  # so", F.col("event_id"))
-    return load(spark, sf, "events").select("event_id", files.returning(code).alias("code"))
+    return files.returned(load(spark, sf, "events").select("event_id", code.alias("code")), "event_id")
 
 
 @query("x18_pretty_json", "SELECT event_id, '{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS text FROM events")

@@ -1,3 +1,4 @@
+import ast
 import random
 
 import pytest
@@ -118,6 +119,33 @@ def test_last_expressions(spark):
     assert got == ["a = 1\n_result = a + 1", "a = 1", "def", None, ""]
 
 
+def test_programs_are_dealt_out_before_they_are_rewritten(spark, tmp_path):
+    """One file of programs is rewritten in several tasks, and programs of one key or none stay rows of their own."""
+    rows = [(k, f"a = {k}\na  +  1  # so") for k in range(400)] + [(7, "b"), (None, "c"), (None, None)]
+    spark.createDataFrame(rows, "k long, code string").coalesce(1).write.parquet(str(tmp_path / "programs"))
+    few, width = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = {c: spark.conf.get(c) for c in (few, width)}
+    try:
+        spark.conf.set(few, "false")
+        spark.conf.set(width, "4")
+        df = files.returned(spark.read.parquet(str(tmp_path / "programs")), "k")
+        got = [(r.k, r.code) for r in df.collect()]
+        assert len({r[0] for r in df.select(F.spark_partition_id()).collect()}) == 4
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    want = [(k, f"a = {k}\n_result = a + 1") for k in range(400)] + [(7, "_result = b"), (None, "_result = c"), (None, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_rewritten_programs_keep_their_other_statements():
+    long = "class A:\n    'd'\n    def f(self, x: int=1, *a, **k) -> int:\n        return f'{x!r:>{k}}' + 'q'\nfor i in b:\n    pass\nelse:\n    y = -1\n(yield_ := [*c, {**d}])"
+    tree = ast.parse(long)
+    tree.body[-1] = ast.fix_missing_locations(ast.copy_location(ast.Assign([ast.Name("_result", ast.Store())], tree.body[-1].value), tree.body[-1]))
+    assert files.code_that_returns(long) == ast.unparse(tree)
+    assert files.code_that_returns("'text'") == "_result = 'text'" and files.code_that_returns("a; b # c") == "a\n_result = b"
+
+
 def test_first_uploads_and_parts(spark, tmp_path):
     u = spark.createDataFrame([("s", 2, "a", "new"), ("s", 1, "a", "old"), ("t", 3, "a", "x")], "session_id string, seq long, file_name string, body string")
     assert {(r.session_id, r.body) for r in files.first_uploads(u).collect()} == {("s", "old"), ("t", "x")}
