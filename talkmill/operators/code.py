@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import returning
+from .files import returned
 
 #: Seconds that an answer may be late, and a program's memory.
 GRACE_S, MEMORY_MB = 5, 1024
@@ -17,11 +17,12 @@ GRACE_S, MEMORY_MB = 5, 1024
 def requests(programs: DataFrame, timeout_s: int = 10) -> DataFrame:
     """What the sandbox is asked for programs (run_id, code): the program with its last expression bound, and its limits."""
     limits = (F.lit(timeout_s).alias("timeout_s"), F.lit(timeout_s + GRACE_S).alias("deadline_s"), F.lit(MEMORY_MB).alias("memory_mb"))
-    return programs.select("run_id", returning(F.col("code")).alias("code"), *limits)
+    return returned(programs.select("run_id", "code"), "run_id").select("run_id", "code", *limits)
 
 
-def executed(asked: DataFrame, answers: DataFrame) -> DataFrame:
-    """run_id, status, stdout and stderr of every request. answers: run_id, status, stdout, stderr, seconds, used_mb.
+def executed(asked: DataFrame, answers: DataFrame, *more: str) -> DataFrame:
+    """run_id, status, stdout and stderr of every request, and more of its columns. answers: run_id, status, stdout, stderr,
+    seconds, used_mb.
 
     An answer that is late or missing is a timeout, one of a program beyond its memory an error; both lose their output.
     """
@@ -29,7 +30,7 @@ def executed(asked: DataFrame, answers: DataFrame) -> DataFrame:
     late = F.col("seconds").isNull() | (F.col("seconds") > F.col("deadline_s"))
     state = F.when(late, "timeout").when(F.col("used_mb") > F.col("memory_mb"), "error").otherwise(F.col("status"))
     kept = lambda c: F.when(~late & (F.coalesce("used_mb", F.lit(0)) <= F.col("memory_mb")), F.col(c))
-    return r.select("run_id", state.alias("status"), kept("stdout").alias("stdout"), kept("stderr").alias("stderr"))
+    return r.select("run_id", *more, state.alias("status"), kept("stdout").alias("stdout"), kept("stderr").alias("stderr"))
 
 
 def solved(attempts: DataFrame, max_retries: int = 2) -> DataFrame:

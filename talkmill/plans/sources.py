@@ -223,7 +223,7 @@ def executions(spark, sf):
     answers = e.filter("event_id % 5 > 0").select(
         k.alias("run_id"), F.lit("success").alias("status"), F.format_string("out %d", k).alias("stdout"), F.lit("").alias("stderr"), (k % 40).cast("double").alias("seconds"), F.when(k % 4 == 0, 2000).otherwise(10).alias("used_mb"),
     )
-    return asked.select("run_id", "code").join(code.executed(asked, answers), "run_id").select("run_id", "code", "status", "stdout")
+    return code.executed(asked, answers, "code").select("run_id", "code", "status", "stdout")
 
 
 _ATTEMPTS = """a AS (SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, CASE WHEN event_id % 3 > 0 THEN 'p' || event_id END AS code, CASE event_type WHEN 'purchase' THEN 'success' ELSE 'error' END AS s FROM events),

@@ -4,6 +4,7 @@ import pytest
 
 from talkmill.operators import code, methods
 from talkmill.operators.registry import tools
+from talkmill.plans import registry
 
 
 def test_another_method_is_plugged_in(spark):
@@ -41,6 +42,16 @@ def test_executions(spark):
     assert tools.call("CodeExecution--ExecuteCode", {"programs": p, "answers": answers}, code="1 + 1", timeout_s=3).first().stdout == "2"
 
 
+def test_programs_meet_their_answers_once(spark):
+    """What a request asks comes along with its outcome: two programs of one run stay two rows, as do those without a run_id."""
+    p = spark.createDataFrame([(1, "1"), (1, "2"), (None, "3")], "run_id long, code string")
+    answers = spark.createDataFrame([(1, "success", "o", "", 1.0, 5)], "run_id long, status string, stdout string, stderr string, seconds double, used_mb int")
+    got = code.executed(code.requests(p), answers, "code")
+    assert {tuple(r) for r in got.collect()} == {(1, "_result = 1", "success", "o", ""), (1, "_result = 2", "success", "o", ""), (None, "_result = 3", "timeout", None, None)}
+    plan = registry.QUERIES["v2_executions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("ArrowEvalPython") == 1
+
+
 def test_downloads(spark):
     rows = [("http://h/a.txt", 200, "image/png", bytearray(b"x")), ("http://h/a.txt", 503, None, None), ("http://h/", None, None, None), ("file:///etc", 200, None, bytearray(b"y"))]
     d = spark.createDataFrame(rows, "url string, status int, content_type string, body binary")
