@@ -201,14 +201,14 @@ def matched(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def parameter_matches(calls: DataFrame) -> DataFrame:
     """Whether each call's arguments are as expected: the calls with ``fits``. calls: call_id, args (JSON) and expected
-    (array<struct<key, value, match, optional>>)."""
+    (array<struct<key, value, match, optional>>). Calls are dealt out by call_id first, as a small file of many is read by few tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = [arguments_match(json.loads(a) if a else {}, e or []) for a, e in zip(batch["args"].to_pylist(), batch["expected"].to_pylist())]
+            fits = [arguments_match(_parsed(a) if a else {}, e) for a, e in zip(_plain(batch["args"]), _lists(batch["expected"], _arguments))]
             yield pa.RecordBatch.from_arrays([batch["call_id"], pa.array(fits, pa.bool_())], names=["call_id", "fits"])
 
-    return calls.select(F.col("call_id").cast("bigint").alias("call_id"), "args", "expected").mapInArrow(run, "call_id long, fits boolean")
+    return calls.select(F.col("call_id").cast("bigint").alias("call_id"), "args", "expected").repartition("call_id").mapInArrow(run, "call_id long, fits boolean")
 
 
 def agent_metrics(metrics: DataFrame, *keys: str) -> DataFrame:

@@ -121,6 +121,17 @@ def test_both_sides_of_a_matching_meet_in_one_shuffle(spark):
     assert p.count("Exchange") == 1 and "Join" not in p and "collect_list" not in p
 
 
+def test_parameters_over_a_table_are_dealt_out(spark):
+    rng = random.Random(5)
+    calls = [(k, a, p) for k in range(300) for e, xs in [case(rng)] for a, p in [(json.dumps(xs[0]["args"]) if xs and k % 7 else None, e[0]["args"] if e else None)]]
+    want = {k: ev.arguments_match(json.loads(a) if a else {}, p or []) for k, a, p in calls}
+    rows = [(k, a, p and [tuple(x[c] for c in ("key", "value", "match", "optional")) for x in p]) for k, a, p in calls]
+    df = spark.createDataFrame(rows, "call_id long, args string, expected array<struct<key: string, value: string, match: string, optional: boolean>>")
+    got = ev.parameter_matches(df)
+    assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.call_id: r.fits for r in got.collect()} == want and len(set(want.values())) == 2
+
+
 def test_comparison_leaves_out_zero_scores(spark):
     s = "method string, model string, questions long, correct long, perfect long, tokens long, time double, server_time double, average_score double"
     new = spark.createDataFrame([("a", "m", 4, 3, 1, 10, 2.5, 1.0, 4.0), ("b", "m", 1, 1, 1, 1, 1.0, 1.0, 1.0)], s)
